@@ -36,6 +36,8 @@ WIDE = 512
 #: Bytes of text handled at once, and bytes of a document's power table.
 PART = 1 << 20
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD_TABLE = _TABLE.copy()
+_FOLD_TABLE[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
