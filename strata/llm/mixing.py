@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import WORD, materialize
+from strata.llm.common import WORD, materialize, partitions
 
 BLOCK, SHARD, ROUNDS, SEED, MOST = 32, 65536, 16, 20240, 3
 WEIGHTS = (5, 2, 1)
@@ -85,6 +85,7 @@ def taken_blocks(counts: DataFrame, rounds: int = ROUNDS, seed: int = SEED, most
     slots = (
         counts.withColumn("first", F.sum("n").over(order) - F.col("n"))
         .where("n > 0")
+        .repartition(partitions(counts.sparkSession), "ix", "shard")  # few rows, which become many
         .select("ix", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
         .where(F.col("slot") < F.col("blocks") * most)
         .withColumn("epoch", F.expr("slot div blocks"))
@@ -114,6 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     )
     span = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}")))
     pieces = placed.withColumn("block", F.explode_outer(span)).withColumn("words", F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
-    met = pieces.join(times, ["ix", "block"], "left")
+    # Spark can't tell how many rows the slots are, and would broadcast them
+    met = pieces.join(times.hint("merge"), ["ix", "block"], "left")
     whole = met.groupBy("ix", "bucket", "row", "id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     return whole.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
