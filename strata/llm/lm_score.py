@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import keyed, partitions
 from strata.llm.repeats import _TABLE, group_starts, mix, prefixes, spread, texts_of, word_spans
 
-ORDER, MIN_COUNT, BACKOFF, GROUP = 2, 2, 0.4, 1000
+ORDER, MIN_COUNT, BACKOFF, GROUP = 2, 2, 0.4, 500
 UNIT = 1e6
 
 
@@ -119,25 +119,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
                 if s.stop > s.start:
                     for k, v in zip(out, (g, n, b, s.stop - s.start, _pack(h[s]), _ints(c[s]), _ints(f[s])), strict=True):
                         out[k].append(v)
+        _release()
         return pa.table({k: pa.array(v, pa.binary() if k in ("h", "counts", "followed") else pa.int64()) for k, v in out.items()})
 
     def answer(batches):
-        held = [x for b in batches for x in b.to_pylist()]
-        for bucket in sorted({x["bucket"] for x in held}):
-            for n in range(order):
-                own = [x for x in held if x["n"] == n and x["bucket"] == bucket]
-                if not own:
-                    continue
-                h = np.concatenate([_unpack(x["h"]) for x in own])
-                table, place = np.unique(h, return_inverse=True)
-                total, followed = (np.bincount(place, np.concatenate([_from_ints(x[c], x["size"]) for x in own]), len(table)).astype(np.int64) for c in ("counts", "followed"))
-                if n:
-                    total[total < min_count] = 0  # not in the table
-                total, followed, at = total[place], followed[place], 0
-                for x in own:
-                    s = slice(at, at + x["size"])
-                    at = s.stop
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((x["g"], pa.int64()), (n, pa.int64()), (bucket, pa.int64()), (x["size"], pa.int64()), (_ints(total[s]), pa.binary()), (_ints(followed[s]) if n < order - 1 else b"", pa.binary()))], ["g", "n", "bucket", "size", "counts", "followed"])
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for x in b.to_pylist():
+                held.setdefault((x["bucket"], x["n"]), []).append(x)
+        _release()
+        for bucket, n in sorted(held):
+            own = held.pop((bucket, n))
+            h = np.concatenate([_unpack(x["h"]) for x in own])
+            table, place = np.unique(h, return_inverse=True)
+            total, followed = (np.bincount(place, np.concatenate([_from_ints(x[c], x["size"]) for x in own]), len(table)).astype(np.int64) for c in ("counts", "followed"))
+            if n:
+                total[total < min_count] = 0  # not in the table
+            total, followed, at = total[place], followed[place], 0
+            for x in own:
+                s = slice(at, at + x["size"])
+                at = s.stop
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((x["g"], pa.int64()), (n, pa.int64()), (bucket, pa.int64()), (x["size"], pa.int64()), (_ints(total[s]), pa.binary()), (_ints(followed[s]) if n < order - 1 else b"", pa.binary()))], ["g", "n", "bucket", "size", "counts", "followed"])
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         own, answers = _tables(left, order), right.to_pylist()
@@ -178,6 +180,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     return dealt.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(sum_up, f"`{id_col}` {kind}, n_words long, n_backoff long, score double, mean_score double")
 
 
+def _release() -> None:
+    """Give back what Arrow keeps for later."""
+    pa.default_memory_pool().release_unused()
+
+
 def _edges(p: int) -> np.ndarray:
     """Bounds of p equal ranges of hashes."""
     return np.array([min((1 << 64) - 1, (i << 64) // p) for i in range(p)] + [(1 << 64) - 1], np.uint64)
