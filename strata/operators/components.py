@@ -1,0 +1,33 @@
+"""Connected components of an undirected graph."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder that the cluster names; a temporary one only where none is named."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-"))
+    return df.checkpoint()
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of links (a, b); a component is named by its smallest node.
+
+    Every round each node learns the smallest name among its neighbours and that name's own name (pointer jumping).
+    """
+    both = _checkpoint(links.where("a <> b").select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    names = _checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    while True:
+        heard = both.join(names.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("heard"))
+        step = names.join(heard, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", F.coalesce("heard", "component")).alias("next"))
+        jump = step.join(step.select(F.col("node").alias("at"), F.col("next").alias("further")), F.col("next") == F.col("at"), "left")
+        after = _checkpoint(jump.select("node", F.col("component").alias("was"), F.least("next", F.coalesce("further", "next")).alias("component")))
+        names = after.select("node", "component")
+        if after.where("was <> component").isEmpty():
+            return names
