@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strata.functions.color import hsl_to_rgb, lit, rgb_to_hsl, unit
+from strata.functions.color import lit, unit
 
 #: Names by code, in the order of their codes.
 MODES = ["normal", "multiply", "screen", "overlay", "darken", "lighten", "color-dodge", "color-burn", "hard-light", "soft-light", "difference", "exclusion", "hue", "saturation", "color", "luminosity"]
@@ -54,18 +54,18 @@ def over(d: dict[str, Column], s: dict[str, Column]) -> dict[str, Column]:
     return {c: pick(c, channel(c)) for c in "rgb"} | {"a": pick("a", alpha)}
 
 
-def composite(d: dict[str, Column], s: dict[str, Column], mode: str) -> dict[str, Column]:
-    """Blend pixel s onto pixel d."""
+#: Which pixel gives hue, saturation and lightness: t(op) or b(ottom).
+HSL_MODES = {"hue": "tbb", "saturation": "btb", "color": "ttb", "luminosity": "bbt"}
+
+
+def composite(d: dict[str, Column], s: dict[str, Column], mode: str, mixed: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Blend pixel s onto pixel d; the HSL modes are given the mixed colour (0..1), which takes projections of its own."""
     if mode == "normal":
         return over(d, s)
     sa, da = unit(s["a"]), unit(d["a"])
     alpha = sa + da * (lit(1) - sa)
-    if mode in SEPARABLE:
+    if mixed is None:
         mixed = {c: SEPARABLE[mode](unit(d[c]), unit(s[c])) for c in "rgb"}
-    else:
-        b, t = rgb_to_hsl(d["r"], d["g"], d["b"]), rgb_to_hsl(s["r"], s["g"], s["b"])
-        hsl = {"hue": (t[0], b[1], b[2]), "saturation": (b[0], t[1], b[2]), "color": (t[0], t[1], b[2]), "luminosity": (b[0], b[1], t[2])}[mode]
-        mixed = dict(zip("rgb", map(unit, hsl_to_rgb(*hsl)), strict=True))
     near = lambda v: F.floor(F.least(lit(1), F.greatest(lit(0), v)) * 255.0 + 0.5).cast("int")
     safe = F.when(alpha <= 0, lit(1)).otherwise(alpha)
     out = {c: near((mixed[c] * sa + unit(d[c]) * da * (lit(1) - sa)) / safe) for c in "rgb"} | {"a": near(alpha)}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.blend import composite, over
+from strata.functions.blend import HSL_MODES, composite, over
+from strata.functions.color import hsl_to_rgb, rgb_to_hsl, unit
 
 _CHANNELS = "rgba"
 
@@ -38,4 +39,11 @@ def blend_images(backdrop: DataFrame, source: DataFrame, mode: str, keys: list[s
     """Blend the source's pixels onto the backdrop's; where the source has none, the backdrop stays."""
     s = source.select(*keys, *[F.col(c).alias(f"s{c}") for c in _CHANNELS])
     met = backdrop.join(s, keys, "left").withColumns({f"s{c}": F.coalesce(f"s{c}", F.lit(0)) for c in _CHANNELS})
-    return met.select(*keys, *[v.alias(c) for c, v in composite(_pixel(""), _pixel("s"), mode).items()])
+    mixed = None
+    if mode in HSL_MODES:  # a projection a step keeps the expressions small
+        for p in ("", "s"):
+            met = met.withColumns(dict(zip((f"_{p}h", f"_{p}s", f"_{p}l"), rgb_to_hsl(*[F.col(f"{p}{c}") for c in "rgb"]), strict=True)))
+        h, sat, light = (F.col(f"_{'s' if of == 't' else ''}{x}") for of, x in zip(HSL_MODES[mode], "hsl", strict=True))
+        met = met.withColumns(dict(zip(("_nr", "_ng", "_nb"), hsl_to_rgb(h, sat, light), strict=True)))
+        mixed = {c: unit(F.col(f"_n{c}")) for c in "rgb"}
+    return met.select(*keys, *[v.alias(c) for c, v in composite(_pixel(""), _pixel("s"), mode, mixed).items()])
