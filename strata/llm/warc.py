@@ -11,7 +11,8 @@ name of its own attempt and reports it; a lost task's rerun reports another name
 
 Of records with equal payloads of min_bytes or more, that with the largest id is the response and the others revisit
 it; copies of that very row are responses too. Nulls: a null html is an empty payload, a null url an empty one; null
-ids sort first and are never the largest. The payload join is on the digests that repeat; Spark splits its skew.
+ids sort first and are never the largest. The join that finds revisits is of digests, without payloads; Spark splits
+its skew.
 """
 
 from __future__ import annotations
@@ -48,12 +49,20 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(id, url, key, payload, sha1, record_type, refers_to) per row."""
+    """(id, key, kind, sha1, url, payload, refers_to): a row of kind 1 per page, and a slim one of kind 0 per revisit.
+
+    The slim rows say which pages revisit what. They travel to the writer under the key of their page, so payloads are
+    shuffled once and never joined.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(url, F.lit("")).alias("url"), url_key(F.col(url)).alias("key"), F.coalesce(html, F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    again = rows.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(again, "sha1", "left").withColumn("revisit", (F.length("payload") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
-    return joined.select("id", "url", "key", "payload", "sha1", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
+    slim = rows.where(F.length("payload") >= min_bytes).select("id", "key", "sha1")
+    again = slim.groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    revisits = slim.join(again, "sha1").where(~F.col("id").eqNullSafe(F.col("first"))).distinct()
+    none = F.lit(None)
+    return rows.select("id", "key", F.lit(1).alias("kind"), "sha1", "url", "payload", none.cast("long").alias("refers_to")).union(
+        revisits.select("id", "key", F.lit(0), "sha1", none.cast("string"), none.cast("binary"), F.col("first"))
+    )
 
 
 def record(page: int | None, url: str, payload: bytes, kind: str, refers_to: int | None) -> bytes:
@@ -92,6 +101,18 @@ def _rows(batches, names: list[str]) -> Iterator[tuple]:
         yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+def _judged(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(id, url, key, payload, record type, refers to) of the pages; slim rows come before the pages of their key."""
+    at, told = None, {}
+    for page, key, kind, sha1, url, payload, refers in rows:
+        if (key, page) != at:
+            at, told = (key, page), {}
+        if kind == 0:
+            told[sha1] = refers
+        else:
+            yield page, url, key, payload, "revisit" if sha1 in told else "response", told.get(sha1)
+
+
 FILES = "file int, archive string, idx string, low string, low_id long, high string, high_id long, n long, directory long, size long"
 
 
@@ -102,7 +123,7 @@ def write(rows: DataFrame, folder: str, files: int, block: int = BLOCK) -> DataF
         from pyarrow import fs
         from pyspark import TaskContext
 
-        rows_ = _rows(batches, ["id", "url", "key", "payload", "record_type", "refers_to"])
+        rows_ = _judged(_rows(batches, ["id", "key", "kind", "sha1", "url", "payload", "refers_to"]))
         head = next(rows_, None)
         if head is None:
             return
@@ -138,7 +159,7 @@ def write(rows: DataFrame, folder: str, files: int, block: int = BLOCK) -> DataF
         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in FILES.split(", ")])
 
     order = ["key", F.col("id").asc_nulls_first()]
-    return materialize(rows.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(run, FILES))
+    return materialize(rows.repartitionByRange(files, *order).sortWithinPartitions(*order, "kind", "sha1").mapInArrow(run, FILES))
 
 
 FOUND = pa.schema([("page_id", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
