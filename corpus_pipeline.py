@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of documents alike in 0.8 of their five-word shingles, in chains, the one with the smallest id stays."""
-    return near_copies.near_copies(docs).where("row_key = first_key").select(*docs.columns)
+    return near_copies.near_copies(docs).where("is_first").select(*docs.columns)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

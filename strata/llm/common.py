@@ -53,6 +53,14 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def rest_of(names: list[str], text: str):
+    """All columns but the text as one struct (never an empty one), so that their names meet no name of ours."""
+    spare = "one"
+    while spare in {n.lower() for n in names}:
+        spare += "_"
+    return F.struct(*[F.col(f"`{c}`") for c in names if c != text], F.lit(1).alias(spare)).alias("own")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -194,9 +194,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ddl = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, score double, question_overlap double, answer_overlap double"
     for shard in range(shards):
         own = items.where(F.col(item_text).isNotNull() & (F.pmod(F.xxhash64(item_id, item_text), F.lit(shards)) == shard)).select(item_id, item_text).orderBy(item_id, item_text)
-        index = Index([(r[0], r[1]) for r in own.collect() if _of(r[1])], idf, mean_length)
-        if not index.ids:
+        with_words = [(r[0], r[1]) for r in own.collect() if _of(r[1])]
+        if not with_words:
             continue
+        index = Index(with_words, idf, mean_length)
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -219,5 +220,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents without a verified item; rows with a null id are judged by their own text."""
-    bad = contaminated(docs.where(F.col(id_col).isNotNull()), items, id_col, text, **settings).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("bad_id"), "left_anti")
+    bad = contaminated(docs.where(F.col(id_col).isNotNull()), items, id_col, text, **settings).select(F.col(id_col).alias("strata_bad_id")).distinct()
+    return docs.join(bad, F.col(id_col) == F.col("strata_bad_id"), "left_anti")

@@ -187,7 +187,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
     """All columns of docs, then lang_pred and score (columns of these names in docs are replaced)."""
     tune(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    slim = docs.select(*names, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    slim = docs.select(*names, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("strata_has_letter"))
     at = names.index(text)
 
     def run(batches):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, discard, keyed, materialize, partitions
+from strata.llm.common import components, discard, keyed, materialize, partitions, rest_of
 from strata.llm.repeats import _FOLD_TABLE, _columns, _Tail, group_starts, mix, prefixes, spread, texts_of, word_spans
 
 SHINGLE, SIMILARITY, WORDS64 = 5, 0.8, 4
@@ -144,23 +144,24 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with row_key and first_key, the smallest row_key of its group; groups are chains of verified links.
+    """docs and ``is_first``: whether a row is the first of its group (by id, nulls first; then text).
 
-    Nulls: a null text is an empty one, and all empty texts are copies of one another.
+    Groups are chains of verified links. A column is_first of docs is replaced; any other name may occur. Nulls: a null text is an empty one, and all empty texts are copies of one another.
     """
-    rows = keyed(docs, id_col, text)
-    slim = rows.select(F.col("row_key").alias("key"), F.col(text).alias("text"))
+    names = [c for c in docs.columns if c != "is_first"]
+    rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), rest_of(names, text)), "id", "text")
+    slim = rows.select(F.col("row_key").alias("key"), F.col("text"))
 
-    names = [f"f{w}" for w in range(WORDS64)]
+    parts = [f"f{w}" for w in range(WORDS64)]
 
     def print_(batches):
         for b in batches:
             raw = b"".join(wide_fingerprint(h) for _, _, data, offsets in texts_of(b.column(1)) for h in shingles(data, offsets, shingle))
             out = np.frombuffer(raw, np.int64).reshape(-1, WORDS64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, w]) for w in range(WORDS64))], ["key", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, w]) for w in range(WORDS64))], ["key", *parts])
 
     prints = materialize(slim.mapInArrow(print_, "key long, f0 long, f1 long, f2 long, f3 long"))
-    classes = prints.groupBy(*names).agg(F.min("key").alias("key"))
+    classes = prints.groupBy(*parts).agg(F.min("key").alias("key"))
     pairs = materialize(_candidates(classes))
     needed = pairs.select(F.col("a").alias("needed")).union(pairs.select("b")).distinct()
 
@@ -185,6 +186,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     links = materialize(met.mapInArrow(verify, "a long, b long"))
     member = components(links)
     discard(own)
-    first = classes.join(member, F.col("key") == F.col("node"), "left").select(*names, F.coalesce("component", "key").alias("first_key"))
-    of = prints.join(first, names).select(F.col("key").alias("print_key"), "first_key")
-    return rows.join(of, F.col("row_key") == F.col("print_key")).drop("print_key")
+    first = classes.join(member, F.col("key") == F.col("node"), "left").select(*parts, F.coalesce("component", "key").alias("first_key"))
+    of = prints.join(first, parts).select(F.col("key").alias("print_key"), "first_key")
+    met = rows.join(of, F.col("row_key") == F.col("print_key")).withColumn("is_first", F.col("row_key") == F.col("first_key"))
+    return met.select(*[F.col("text").alias(c) if c == text else F.col("own").getField(c).alias(c) for c in names], "is_first")

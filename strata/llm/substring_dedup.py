@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import keyed
+from strata.llm.common import keyed, rest_of
 from strata.llm.repeats import Repeats, covered, group_starts, word_tokens
 from strata.llm.suffix_dedup import with_ranges
 
@@ -119,13 +119,11 @@ def _put(out, *row) -> None:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All columns of docs, then (n_words, n_removed, kept): per row; kept is the remaining words joined by a space.
 
-    Columns of docs named like these or row_key would be ambiguous and are an error of the plan.
+    Columns of docs named like the last three are replaced; any other name may occur.
     """
-    rows = keyed(docs, id_col, text)
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), rest_of(names, text)), "id", "text")
     repeats = Repeats(window, gram, False, word_tokens, partial(repeated_words, window))
-    slim = rows.select("row_key", *[c for c in docs.columns if c != text], F.col(text).alias("text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text)
-    names = [c for c in docs.columns if c != text]
 
     def run(batches):
         for b in batches:
@@ -142,8 +140,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                         del words[s:e]
                 n_removed.append(gone)
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names) + 1)), pa.array(n_words), pa.array(n_removed), pa.array(kept)], [*names, text, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["own", "text", "n_words", "n_removed", "kept"])
 
-    marked = with_ranges(slim, repeats).select(*names, "text", "r")
-    out = marked.mapInArrow(run, f"{fields}, `{text}` string, n_words long, n_removed long, kept string")
-    return out.select(*docs.columns, "n_words", "n_removed", "kept")
+    marked = with_ranges(rows, repeats).select("own", "text", "r")
+    out = marked.mapInArrow(run, f"own {marked.schema['own'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("own").getField(c).alias(c) for c in names], "n_words", "n_removed", "kept")
