@@ -69,7 +69,21 @@ t as (select doc_id, count(*) n_words, count(*) filter (backed) n_backoff, sum(v
 select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_backoff, 0) n_backoff, coalesce(v, 0) / 1e6 score,
   floor(coalesce(v, 0) / greatest(coalesce(n_words, 0), 1)::double + 0.5) / 1e6 mean_score
 from documents d left join t using (doc_id)""",
-    "op5_suffix_dedup": None,
+    "op6_warc_index": """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b) n, lower(sha1(b)) h from p),
+k as (select *, max(page_id) over (partition by h) keep from h),
+c as (select *, list_transform(range(8), lambda i: ('0x' || substr(h, (5 * i + 1)::int, 5))::bigint) v from k)
+select page_id, n payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31)::int + 1, 1)), '')), '') payload_digest,
+  case when page_id = keep then 'response' else 'revisit' end record_type, case when page_id <> keep then keep end refers_to
+from c""",
+    "op8_embedding_dedup": """
+with recursive e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings),
+g as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from e where v is not null and len(v) > 0 and not list_contains(list_transform(v, lambda x: coalesce(isfinite(x), false)), false)),
+l as (select a.vec_id a, b.vec_id b from g a join g b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.n > 0 and b.n > 0 and list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r as (select vec_id, vec_id c from e union select l.b, r.c from r join l on l.a = r.vec_id),
+m as (select vec_id, min(c) component_id from r group by vec_id)
+select m.vec_id, coalesce(k.n, 0)::bigint n_links, component_id, m.vec_id = component_id kept from m left join (select a, count(*) n from l group by a) k on k.a = m.vec_id""",
     "op9_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS} a from documents),
 w as (select doc_id, unnest(a) w, generate_subscripts(a, 1) i from d),
@@ -80,4 +94,3 @@ k as (select w.doc_id, w.i, w.w, coalesce(w.i - max(m.i) over (partition by w.do
 select d.doc_id, len(coalesce(d.a, [])) n_words, coalesce(sum(gone::int), 0)::bigint n_removed, sha256(coalesce(string_agg(w, ' ' order by i) filter (not gone), '')) kept_sha256
 from d left join k using (doc_id) group by d.doc_id, d.a""",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
