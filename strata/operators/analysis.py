@@ -35,6 +35,41 @@ def palette_box(df: DataFrame, image: str = "image_id") -> DataFrame:
     return out.withColumn("widest", F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in "rgb"]))
 
 
+def extract_palette(df: DataFrame, colors: int, image: str = "image_id") -> DataFrame:
+    """(image, idx, r, g, b, a): median cut of each image's visible pixels, by rising luminance.
+
+    Each cut depends on the one before it, so an image is one group; pixels that are equal in colour are kept apart,
+    since medians count them. An image without visible pixels gets one transparent colour.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pixels = pdf.sort_values(["y", "x"])
+        pixels = pixels.loc[pixels["a"] > 0, ["r", "g", "b"]].to_numpy()
+        if not len(pixels):
+            out = [(0, 0, 0, 0)]
+        else:
+            boxes = [pixels]
+            while len(boxes) < max(1, colors):
+                widths = [int(np.ptp(b, axis=0).max()) for b in boxes]
+                at = len(widths) - 1 - int(np.argmax(widths[::-1]))
+                box = boxes.pop(at)
+                if widths[at] == 0 or len(box) < 2:
+                    boxes.append(box)
+                    break
+                box = box[np.argsort(box[:, int(np.argmax(np.ptp(box, axis=0)))], kind="stable")]
+                boxes += [box[: len(box) // 2], box[len(box) // 2 :]]
+            means = [tuple(int(v) for v in b.sum(axis=0) // len(b)) for b in boxes]
+            out = [(*m, 255) for m in sorted(means, key=lambda m: 0.299 * m[0] + 0.587 * m[1] + 0.114 * m[2])]
+        res = pd.DataFrame(out, columns=["r", "g", "b", "a"], dtype="int32")
+        res.insert(0, "idx", np.arange(len(res), dtype="int32"))
+        res.insert(0, image, pdf[image].iloc[0])
+        return res
+
+    return df.select(image, "x", "y", *"rgba").groupBy(image).applyInPandas(cut, f"{image} long, idx int, r int, g int, b int, a int")
+
+
 def quantize(df: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
     """Visible pixels to the nearest palette colour, the first of equals; the palette is a literal of the plan."""
     if not palette:

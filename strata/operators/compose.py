@@ -47,3 +47,18 @@ def blend_images(backdrop: DataFrame, source: DataFrame, mode: str, keys: list[s
         met = met.withColumns(dict(zip(("_nr", "_ng", "_nb"), hsl_to_rgb(h, sat, light), strict=True)))
         mixed = {c: unit(F.col(f"_n{c}")) for c in "rgb"}
     return met.select(*keys, *[v.alias(c) for c, v in composite(_pixel(""), _pixel("s"), mode, mixed).items()])
+
+
+def render_groups(stack: DataFrame, depth: int, groups: int, keys: list[str]) -> DataFrame:
+    """Composite groups of layers on canvases of their own, then those canvases (group, group_opacity) bottom to top."""
+    each = render(stack, depth, [*keys, "group"])
+    about = stack.groupBy(*keys, "group").agg(F.max("group_opacity").alias("opacity"))
+    canvases = each.join(about, [*keys, "group"]).select(*keys, F.col("group").alias("z"), *_CHANNELS, F.lit(False).alias("clipped"), "opacity")
+    return render(canvases, groups, keys)
+
+
+def blit(target: DataFrame, placed: DataFrame, dx: int, dy: int, opacity: float, keys: list[str]) -> DataFrame:
+    """Source-over of an image whose top left corner is at (dx, dy), scaled in alpha; what falls outside is cut off."""
+    level = int(min(1.0, max(0.0, opacity)) * 255 + 0.5)
+    moved = placed.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy, "a": F.floor((F.col("a") * level + 127) / 255).cast("int")})
+    return blend_images(target, moved, "normal", keys)

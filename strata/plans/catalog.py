@@ -112,6 +112,10 @@ QUERIES: dict = {
     "scale_alpha": _filter(lambda p: filters.scale_alpha(p, 0.3)),
     "apply_mask": lambda s, d: filters.apply_mask(*_pair(s, d), KEYS, inverted=True),
     **{f"convolve_{k}": _filter(lambda p, k=k: neighbourhood.convolve(p, neighbourhood.KERNELS[k])) for k in ("box3", "gauss3", "gauss5", "sharpen", "edge_detect", "emboss")},
+    "unsharp": _filter(lambda p: neighbourhood.unsharp(p, 0.5)),
+    "blit": lambda s, d: compose.blit(pixels(s, d), geometry.rotate90(_pair(s, d)[1], 4, 4, 3), 1, -1, 0.7, KEYS),
+    "render_groups": lambda s, d: compose.render_groups(_stack(s, d).withColumns({"group": F.floor(F.col("z") / 3).cast("int"), "z": F.col("z") % 3, "group_opacity": F.lit(0.6)}), 3, 2, ["doc_id", "x", "y"]),
+    "extract_palette": _filter(lambda p: analysis.extract_palette(p, 4)),
     "histogram": lambda s, d: analysis.histogram(plane(s, d)),
     "dominant": lambda s, d: analysis.dominant(plane(s, d)),
     "palette_box": lambda s, d: analysis.palette_box(plane(s, d)),
@@ -174,6 +178,9 @@ ORACLE_SQL: dict[str, str] = {
     "scale_alpha": _px + "image_id, x, y, r, g, b, cast((a * 77 + 127) // 255 as int) a from px",
     "apply_mask": f"with {O.PAIR} select image_id, x, y, m.r, m.g, m.b, cast(case when s.image_id is null then m.a else (m.a * (255 - m.sr) + 127) // 255 end as int) a from m left join (select image_id, x, y from s) s using (image_id, x, y)",
     **{f"convolve_{k}": O.convolve_sql(neighbourhood.KERNELS[k]) for k in ("box3", "gauss3", "gauss5", "sharpen", "edge_detect", "emboss")},
+    "unsharp": f"with {_P}, m as (select p.image_id, p.x, p.y, " + ", ".join(f"sum(q.{c}) / count(*)::double m{c}" for c in "rgb") + " from px p join px q on q.image_id = p.image_id and abs(q.x - p.x) <= 1 and abs(q.y - p.y) <= 1 where q.a > 0 group by all) select image_id, x, y, " + ", ".join(f"case when a > 0 then {O.byte(f'{c} + ({c} - m{c}) * 0.6e0')} else {c} end {c}" for c in "rgb") + ", a from px left join m using (image_id, x, y)",
+    "blit": f"with {_P}, t as (select image_id - 1 image_id, y + 1 x, 3 - x - 1 y, r, g, b, cast((a * 179 + 127) // 255 as int) a from px), m as (select p.*, coalesce(t.r, 0) sr, coalesce(t.g, 0) sg, coalesce(t.b, 0) sb, coalesce(t.a, 0) sa from px p left join t using (image_id, x, y)) select image_id, x, y, " + ", ".join(f"{v} {c}" for c, v in O.over_sql("", "s").items()) + " from m",
+    "render_groups": O.groups_sql(),
     "histogram": f"with {O.PLANE}, v as (select image_id, unnest(['r', 'g', 'b', 'a']) channel, unnest([r, g, b, a]) \"value\" from pl) select image_id, channel, \"value\", count(*) n from v group by all",
     "dominant": f"with {O.PLANE}, c as (select image_id, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) bin, count(*) n from pl where a > 0 group by all), t as (select *, row_number() over (partition by image_id order by n desc, bin) k from c) select image_id, cast((bin >> 10) * 8 + 4 as int) r, cast(((bin >> 5) & 31) * 8 + 4 as int) g, cast((bin & 31) * 8 + 4 as int) b from t where k = 1",
     "palette_box": f"with {O.PLANE}, b as (select image_id, " + ", ".join(f"min({c}) min_{c}, max({c}) max_{c}, cast(sum({c}) // count(*) as int) avg_{c}" for c in "rgb") + " from pl where a > 0 group by image_id) select *, greatest(max_r - min_r, max_g - min_g, max_b - min_b) widest from b",

@@ -110,3 +110,20 @@ LAYERS = """ly as (select 'g' || r_regionkey id, null::varchar parent, r_regionk
 union all select 's' || s_suppkey, 'n' || s_nationkey, s_suppkey, case when s_suppkey % 5 = 0 then 'filter' else 'raster' end from supplier),
 nl as (select id, parent, kind, cast(row_number() over (partition by parent order by k) - 1 as int) idx from ly),
 ls as (select id, parent, kind, idx, 0 depth, printf('%06d', idx) path from nl where parent is null union all select c.id, c.parent, c.kind, c.idx, depth + 1, path || '/' || printf('%06d', c.idx) from nl c join ls on c.parent = ls.id)"""
+
+
+def groups_sql() -> str:
+    """Documents of five layers in two groups (z 0 to 2, 3 and 4), each group at 0.6 of its alpha."""
+    steps = [PIXELS, "st as (select image_id // 5 doc_id, image_id % 5 z, x, y, r, g, b, a from px)"]
+    steps.append("k0 as (select distinct doc_id, x, y, 0 cr, 0 cg, 0 cb, 0 ca from st)")
+    over = ", ".join(f"{v} c{c}" for c, v in over_sql("c", "s").items())
+    for g, layers in enumerate(((0, 1, 2), (3, 4))):
+        name = f"g{g}_"
+        steps.append(f"{name}0 as (select doc_id, x, y, 0 cr, 0 cg, 0 cb, 0 ca, 0 below from k0)")
+        for i, z in enumerate(layers):
+            alpha = "(coalesce(l.a, 0) * below + 127) // 255" if z % 2 else "coalesce(l.a, 0)"
+            steps.append(f"{name}j{i} as (select k.*, coalesce(l.r, 0) sr, coalesce(l.g, 0) sg, coalesce(l.b, 0) sb, {alpha} sa from {name}{i} k left join st l on l.doc_id = k.doc_id and l.x = k.x and l.y = k.y and l.z = {z})")
+            steps.append(f"{name}{i + 1} as (select doc_id, x, y, {over}, sa below from {name}j{i})")
+        steps.append(f"h{g} as (select k.*, s.cr sr, s.cg sg, s.cb sb, cast((s.ca * 153 + 127) // 255 as int) sa from k{g} k join {name}{len(layers)} s using (doc_id, x, y))")
+        steps.append(f"k{g + 1} as (select doc_id, x, y, {over} from h{g})")
+    return f"with {', '.join(steps)} select doc_id, x, y, cr r, cg g, cb b, ca a from k2"

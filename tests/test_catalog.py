@@ -18,7 +18,7 @@ def db(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
 def test_query(spark, sf_dir, db, name):
     ours, theirs = catalog.QUERIES[name](spark, sf_dir).toPandas(), db.sql(catalog.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)

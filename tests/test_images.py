@@ -107,3 +107,10 @@ def test_contract(spark, sf_dir):
     assert __spark_entry__.entry(spark).count() > 0
     names = set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_palette(spark):
+    px = image(spark, [(0, 0, 10, 0, 0, 255), (1, 0, 20, 0, 0, 255), (2, 0, 200, 0, 0, 255), (3, 0, 250, 0, 0, 255), (4, 0, 99, 99, 99, 0)])
+    assert [(r.idx, r.r, r.a) for r in analysis.extract_palette(px, 2).orderBy("idx").collect()] == [(0, 15, 255), (1, 225, 255)]
+    assert analysis.extract_palette(px, 9).count() == 4
+    assert [(r.r, r.a) for r in analysis.extract_palette(px.where("a = 0"), 3).collect()] == [(0, 0)]
