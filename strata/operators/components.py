@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the cluster names; a temporary one only where none is named."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-"))
     return df.checkpoint()
 
 
