@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch. Python workers hold one batch of whole texts at a time, so this bounds their memory.
 ARROW_ROWS = 1000
+#: Folders of applications that name none (the setting can't be changed while one runs).
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='strata-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, f"file://{tempfile.mkdtemp(prefix='strata-')}")
     return found.rstrip("/")
 
 
