@@ -111,7 +111,7 @@ QUERIES: dict = {
     "gradient_map": _filter(lambda p: filters.gradient_map(p, STOPS)),
     "scale_alpha": _filter(lambda p: filters.scale_alpha(p, 0.3)),
     "apply_mask": lambda s, d: filters.apply_mask(*_pair(s, d), KEYS, inverted=True),
-    **{f"convolve_{k}": _filter(lambda p, k=k: neighbourhood.convolve(p, neighbourhood.KERNELS[k])) for k in ("box3", "gauss3", "gauss5", "sharpen", "edge_detect", "emboss")},
+    **{f"convolve_{k}": _filter(lambda p, k=k: neighbourhood.convolve(p, neighbourhood.KERNELS[k], shape=(4, 4))) for k in ("box3", "gauss3", "gauss5", "sharpen", "edge_detect", "emboss")},
     "unsharp": _filter(lambda p: neighbourhood.unsharp(p, 0.5)),
     "blit": lambda s, d: compose.blit(pixels(s, d), geometry.rotate90(_pair(s, d)[1], 4, 4, 3), 1, -1, 0.7, KEYS),
     "render_groups": lambda s, d: compose.render_groups(_stack(s, d).withColumns({"group": F.floor(F.col("z") / 3).cast("int"), "z": F.col("z") % 3, "group_opacity": F.lit(0.6)}), 3, 2, ["doc_id", "x", "y"]),
