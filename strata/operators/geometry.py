@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.color import byte
+from strata.functions.color import byte, lit
+from strata.operators.compose import pack, unpack
 
 
 def flip(df: DataFrame, w: int, h: int, across_x: bool = False, across_y: bool = False) -> DataFrame:
@@ -65,3 +68,119 @@ def resize_bilinear(df: DataFrame, w: int, h: int, new_w: int, new_h: int, image
     weight = F.col("_x.w") * F.col("_y.w")
     summed = sent.groupBy(image, F.col("_x.i").alias("x"), F.col("_y.i").alias("y")).agg(*[F.sum(F.col(c) * weight).alias(c) for c in "rgba"])
     return summed.select(image, "x", "y", *[byte(F.round(c, 6)).alias(c) for c in "rgba"])
+
+
+def _lanczos(x: float) -> float:
+    """Windowed sinc with three lobes."""
+    if abs(x) >= 3:
+        return 0.0
+    return 1.0 if abs(x) < 1e-10 else math.sin(math.pi * x) / (math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x / 3)
+
+
+def lanczos_weights(old: int, new: int) -> list[dict[int, float]]:
+    """For each old coordinate, the new ones that read it and their shares; taps beyond the edge read the edge."""
+    takers: list[dict[int, float]] = [{} for _ in range(old)]
+    for i in range(new):
+        c = (i + 0.5) * old / new - 0.5
+        taps = [(min(max(k, 0), old - 1), _lanczos(c - k)) for k in range(math.ceil(c - 3), math.floor(c + 3) + 1)]
+        total = sum(w for _, w in taps)
+        for k, w in taps:
+            takers[k][i] = takers[k].get(i, 0.0) + w / total
+    return takers
+
+
+def resize_lanczos(df: DataFrame, w: int, h: int, new_w: int, new_h: int, image: str = "image_id") -> DataFrame:
+    """Rows, then columns, truncated to bytes in between; pixels are sent to the places that read them."""
+    for c, old, new in (("x", w, new_w), ("y", h, new_h)):
+        if old == new:
+            continue
+        table = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("w")) for i, v in t.items()]).cast("array<struct<i:int,w:double>>") for t in lanczos_weights(old, new)])
+        sent = df.withColumn("_t", F.explode(F.element_at(table, F.col(c) + 1)))
+        place = {"x": F.col("x"), "y": F.col("y")} | {c: F.col("_t.i")}
+        summed = sent.groupBy(image, *[v.alias(k) for k, v in place.items()]).agg(*[F.sum(F.col(v) * F.col("_t.w")).alias(v) for v in "rgba"])
+        df = summed.select(image, "x", "y", *[byte(F.round(v, 6)).alias(v) for v in "rgba"])
+    return df.select(image, "x", "y", *"rgba")
+
+
+def turned_size(w: int, h: int, degrees: float) -> tuple[int, int]:
+    """Size of the box around a turned image."""
+    co, si = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    xs, ys = zip(*[((px - w / 2) * co - (py - h / 2) * si + w / 2, (px - w / 2) * si + (py - h / 2) * co + h / 2) for px in (0, w) for py in (0, h)], strict=True)
+    return math.ceil(max(xs) - min(xs)), math.ceil(max(ys) - min(ys))
+
+
+def rotate(df: DataFrame, w: int, h: int, degrees: float, image: str = "image_id") -> DataFrame:
+    """Turned clockwise about the centre with four-tap sampling; every pixel of the new box, clear where nothing lands.
+
+    A pixel can be read by places near the one it is turned to, so it is sent to those, and a hash aggregate keeps one
+    packed pixel a tap; no join.
+    """
+    new_w, new_h = turned_size(w, h, degrees)
+    co, si = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    cells = df.select(image).distinct().select(image, F.explode(F.sequence(F.lit(0), F.lit(new_w * new_h - 1))).alias("p"))
+    grid = cells.select(image, (F.col("p") % new_w).cast("int").alias("x"), F.floor(F.col("p") / new_w).cast("int").alias("y"))
+
+    def source(x: Column, y: Column) -> tuple[Column, Column]:
+        rx, ry = x.cast("double") - new_w / 2, y.cast("double") - new_h / 2
+        return rx * co + ry * si + w / 2, rx * -si + ry * co + h / 2
+
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-3, 4) for j in range(-3, 4)])
+    px, py = F.col("x") - w / 2, F.col("y") - h / 2
+    sent = df.select(image, F.col("x").alias("_x"), F.col("y").alias("_y"), pack(*[F.col(c) for c in "rgba"]).alias("_p"), F.round(px * co - py * si + new_w / 2).cast("int").alias("_i"), F.round(px * si + py * co + new_h / 2).cast("int").alias("_j"), F.explode(near).alias("_n"))
+    sent = sent.withColumns({"x": F.col("_i") + F.col("_n.i"), "y": F.col("_j") + F.col("_n.j")}).where(F.col("x").between(0, new_w - 1) & F.col("y").between(0, new_h - 1))
+    fx, fy = source(F.col("x"), F.col("y"))
+    sent = sent.withColumns({"_fx": fx, "_fy": fy}).where(F.col("_fx").between(-0.5, w - 0.5) & F.col("_fy").between(-0.5, h - 0.5))
+    first = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v))).cast("int")
+    x0, y0 = first(F.col("_fx"), w), first(F.col("_fy"), h)
+    is_x, is_y = (F.col("_x") == x0, F.col("_x") == F.least(x0 + 1, F.lit(w - 1))), (F.col("_y") == y0, F.col("_y") == F.least(y0 + 1, F.lit(h - 1)))
+    met = sent.where((is_x[0] | is_x[1]) & (is_y[0] | is_y[1])).groupBy(image, "x", "y").agg(*[F.max(F.when(is_x[i] & is_y[j], F.col("_p"))).alias(f"_{i}{j}") for j in (0, 1) for i in (0, 1)])
+    fx, fy = source(F.col("x"), F.col("y"))
+    dx, dy = fx - F.floor(fx), fy - F.floor(fy)
+    taps = [(unpack(F.coalesce(F.col(f"_{i}{j}"), F.lit(0))), (dx if i else lit(1) - dx), (dy if j else lit(1) - dy)) for j in (0, 1) for i in (0, 1)]
+    total = lambda c: byte(F.round(sum((p[c].cast("double") * u * v for p, u, v in taps), lit(0)), 6))
+    return grid.join(met.select(image, "x", "y", *[total(c).alias(c) for c in "rgba"]), [image, "x", "y"], "left").select(image, "x", "y", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"])
+
+
+def trim(df: DataFrame, image: str = "image_id") -> DataFrame:
+    """The box of the visible pixels, moved to the origin; an image without any has no rows left."""
+    live = F.col("a") > 0
+    box = df.groupBy(image).agg(*[f(F.when(live, F.col(c))).alias(f"_{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xy"])
+    inside = df.join(box, image).where(F.col("x").between(F.col("_lox"), F.col("_hix")) & F.col("y").between(F.col("_loy"), F.col("_hiy")))
+    return inside.withColumns({c: F.col(c) - F.col(f"_lo{c}") for c in "xy"}).select(*df.columns)
+
+
+def scaled(length: int, scale: float) -> int:
+    """Rounded half up, one at least."""
+    return max(1, math.floor(length * abs(scale) + 0.5))
+
+
+def transform(df: DataFrame, w: int, h: int, flip_x: bool = False, flip_y: bool = False, scale_x: float = 1.0, scale_y: float = 1.0, degrees: float = 0.0, image: str = "image_id") -> tuple[DataFrame, int, int]:
+    """Flip, scale, then turn; the image and its new size. Steps that change nothing add nothing to the plan."""
+    if flip_x or flip_y:
+        df = flip(df, w, h, flip_x, flip_y)
+    new_w, new_h = scaled(w, scale_x), scaled(h, scale_y)
+    if (new_w, new_h) != (w, h):
+        df, w, h = resize_bilinear(df, w, h, new_w, new_h, image), new_w, new_h
+    if abs(degrees) > 2.0**-52:
+        df, (w, h) = rotate(df, w, h, degrees, image), turned_size(w, h, degrees)
+    return df, w, h
+
+
+def fit(w: Column, h: Column, max_w: Column, max_h: Column) -> tuple[Column, Column]:
+    """The largest size within a box at the same proportions, never enlarged and one at least; 0 if any length is 0."""
+    none = (w <= 0) | (h <= 0) | (max_w <= 0) | (max_h <= 0)
+    safe = lambda v: F.greatest(v, F.lit(1)).cast("double")
+    s = F.least(max_w / safe(w), max_h / safe(h), lit(1))
+    return tuple(F.when(none, 0).otherwise(F.greatest(F.lit(1), F.floor(v * s + 0.5))).cast("int") for v in (w, h))
+
+
+def quarter(degrees: Column) -> Column:
+    """The nearest quarter turn, 0 to 270; halves go away from zero."""
+    turns = F.signum(degrees) * F.floor(F.abs(degrees) / 90.0 + 0.5)
+    return ((turns.cast("int") * 90) % 360 + 360) % 360
+
+
+def corner(position: Column, size: Column, centred: Column) -> Column:
+    """Top or left of a layer from its position, which is its centre or its corner."""
+    v = position - size / 2.0
+    return F.when(centred, F.signum(v) * F.floor(F.abs(v) + 0.5)).otherwise(position).cast("int")

@@ -33,18 +33,96 @@ def ellipse(shapes: DataFrame, stroke: int = 0) -> DataFrame:
 
 def gradient(cells: DataFrame, stops: list[tuple[float, tuple[int, int, int, int]]], direction: str) -> DataFrame:
     """Colour (x, y) cells of shapes (w, h) along a gradient: horizontal, vertical, diagonal_down or diagonal_up."""
-    fx = F.col("x") / F.greatest(F.col("w") - 1, F.lit(1)).cast("double")
-    fy = F.col("y") / F.greatest(F.col("h") - 1, F.lit(1)).cast("double")
+    return cells.withColumns(gradient_at(F.col("x"), F.col("y"), F.col("w"), F.col("h"), stops, direction))
+
+
+def gradient_at(x: Column, y: Column, w: Column, h: Column, stops: list[tuple[float, tuple[int, int, int, int]]], direction: str) -> dict[str, Column]:
+    """Channels of a gradient's pixel; a place outside all pairs of stops runs from the first stop to the last."""
+    fx, fy = x / F.greatest(w - 1, F.lit(1)).cast("double"), y / F.greatest(h - 1, F.lit(1)).cast("double")
     t = {"horizontal": fx, "vertical": fy, "diagonal_down": (fx + fy) / 2.0, "diagonal_up": (fx + (lit(1) - fy)) / 2.0}[direction]
     out = {}
     for i, c in enumerate("rgba"):
-        v = None
-        for (p, a), (q, b) in zip(stops, stops[1:], strict=False):
-            f = (F.col("_t") - p) / (q - p) if q > p else lit(0)
-            here = F.floor(lit(a[i]) * (lit(1) - f) + lit(b[i]) * f + 0.5)
-            v = F.when((F.col("_t") >= p) & (F.col("_t") <= q), here) if v is None else v.when((F.col("_t") >= p) & (F.col("_t") <= q), here)
-        first, last = stops[0], stops[-1]
-        f = (F.col("_t") - first[0]) / (last[0] - first[0]) if last[0] > first[0] else lit(0)
-        rest = F.floor(lit(first[1][i]) * (lit(1) - f) + lit(last[1][i]) * f + 0.5)
-        out[c] = (v.otherwise(rest) if v is not None else rest).cast("int")
-    return cells.withColumn("_t", t).withColumns(out).drop("_t")
+        pairs = [*zip(stops, stops[1:], strict=False), (stops[0], stops[-1])]
+        value = None
+        for n, ((p, a), (q, b)) in enumerate(pairs):
+            f = (t - p) / (q - p) if q > p else lit(0)
+            here, inside = F.floor(lit(a[i]) * (lit(1) - f) + lit(b[i]) * f + 0.5), (t >= p) & (t <= q)
+            if n == len(pairs) - 1:
+                value = here if value is None else value.otherwise(here)
+            else:
+                value = F.when(inside, here) if value is None else value.when(inside, here)
+        out[c] = value.cast("int")
+    return out
+
+
+def _cells(shapes: DataFrame) -> DataFrame:
+    at = shapes.withColumn("_p", F.explode(F.sequence(F.lit(0), F.greatest(F.col("w"), F.lit(1)) * F.greatest(F.col("h"), F.lit(1)) - 1)))
+    wide = F.greatest(F.col("w"), F.lit(1))
+    return at.withColumns({"x": (F.col("_p") % wide).cast("int"), "y": F.floor(F.col("_p") / wide).cast("int")}).drop("_p")
+
+
+def _part(hit: Column, stroke: Column) -> Column:
+    return F.when(stroke, "stroke").when(hit, "fill")
+
+
+def _in_rounded(x: Column, y: Column, w: Column, h: Column, radius: Column) -> Column:
+    """Corners are quarter discs; a radius of 0 or less is a plain rectangle, and a box without area holds nothing."""
+    dx = x - F.least(F.greatest(x, radius), w - radius)
+    dy = y - F.least(F.greatest(y, radius), h - radius)
+    plain = x.between(lit(0), w) & y.between(lit(0), h)
+    return (w > 0) & (h > 0) & F.when(radius <= 0, plain).otherwise(dx * dx + dy * dy <= radius * radius)
+
+
+def rectangle(shapes: DataFrame, stroke: int = 0, radius: int = 0) -> DataFrame:
+    """(shape, x, y, part) of shapes (shape, w, h), with rounded corners; the stroke runs along the inside of the edge."""
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    w, h = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in "wh")
+    r = F.least(F.lit(radius), F.floor(F.col("w") / 2), F.floor(F.col("h") / 2)).cast("double")
+    if radius:
+        inner = _in_rounded(x - stroke, y - stroke, w - 2.0 * stroke, h - 2.0 * stroke, F.greatest(r - stroke, lit(0)))
+        edge = ~inner
+    else:
+        edge = (x <= stroke) | (x >= w - stroke) | (y <= stroke) | (y >= h - stroke)
+    part = _part(_in_rounded(x, y, w, h, r), edge) if stroke else F.lit("fill")
+    return _cells(shapes).where(_in_rounded(x, y, w, h, r)).select("shape", "x", "y", part.alias("part"))
+
+
+def _distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """From a point to a segment, squared; a segment of no length is a point."""
+    vx, vy = bx - ax, by - ay
+    long = vx * vx + vy * vy
+    t = F.when(long <= 0, lit(0)).otherwise(F.least(lit(1), F.greatest(lit(0), ((x - ax) * vx + (y - ay) * vy) / F.when(long <= 0, lit(1)).otherwise(long))))
+    dx, dy = x - ax - vx * t, y - ay - vy * t
+    return dx * dx + dy * dy
+
+
+def line(shapes: DataFrame, width: int = 1) -> DataFrame:
+    """(shape, x, y, part) of the diagonals of boxes (shape, w, h), from the first pixel's centre to the last's."""
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    w, h = (F.greatest(F.col(c).cast("double") - 0.5, lit(0.5)) for c in "wh")
+    near = _distance(x, y, lit(0.5), lit(0.5), w, h) <= (max(width, 1) / 2.0) ** 2
+    return _cells(shapes).where(near).select("shape", "x", "y", F.lit("stroke").alias("part"))
+
+
+def polygon(shapes: DataFrame, stroke: int = 0) -> DataFrame:
+    """(shape, x, y, part) of shapes (shape, w, h, points): even-odd inside, stroke on both sides of the edges.
+
+    ``points`` is an array of structs (x, y); fewer than three draw nothing.
+    """
+    n = F.size("points")
+    ring = F.transform("points", lambda p, i: F.struct(p["x"].cast("double").alias("bx"), p["y"].cast("double").alias("by"), F.element_at("points", F.when(i == 0, n).otherwise(i))["x"].cast("double").alias("ax"), F.element_at("points", F.when(i == 0, n).otherwise(i))["y"].cast("double").alias("ay")))
+    cell = _cells(shapes.where(n >= 3).withColumn("_ring", ring))
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+
+    def crosses(e: Column) -> Column:
+        spans = (e["ay"] > y) != (e["by"] > y)
+        return spans & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.when(spans, e["by"] - e["ay"]).otherwise(lit(1)) + e["ax"])
+
+    inside = F.size(F.filter("_ring", crosses)) % 2 == 1
+    cell = cell.withColumn("_in", inside)
+    if stroke:
+        near = F.exists("_ring", lambda e: _distance(x, y, e["ax"], e["ay"], e["bx"], e["by"]) <= (stroke / 2.0) ** 2)
+        cell = cell.withColumn("_part", _part(F.col("_in"), near))
+    else:
+        cell = cell.withColumn("_part", F.when(F.col("_in"), "fill"))
+    return cell.where("_part is not null").select("shape", "x", "y", F.col("_part").alias("part"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,55 @@ def patched(log: DataFrame, key: str, order: str, fields: list[str]) -> DataFram
     """State after a log of sparse patches: each field's last value that isn't null, by partial aggregates."""
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(order, c))).getField(c)
     return log.groupBy(key).agg(*[last(c).alias(c) for c in fields])
+
+
+def appended(layers: DataFrame, layer: str, parent: str | None, kind: str) -> DataFrame:
+    """The tree with a new last child of a group (None: on top of the document); an unknown parent or one that isn't a group is an error."""
+    if parent is not None and layers.where((F.col("id") == parent) & (F.col("kind") == "group")).isEmpty():
+        raise ValueError(f"no such group: {parent}")
+    beside = layers.where(F.col("parent").eqNullSafe(F.lit(parent))).agg((F.coalesce(F.max("idx"), F.lit(-1)) + 1).cast("int").alias("idx"))
+    values = {"id": F.lit(layer), "parent": F.lit(parent).cast("string"), "kind": F.lit(kind), "idx": F.col("idx")}
+    return layers.unionByName(beside.select(*[v.alias(k) for k, v in values.items()]), allowMissingColumns=True)
+
+
+def without_child(layers: DataFrame, group: str, child: str, max_depth: int = 16) -> DataFrame:
+    """As ``without``, but only where the layer is a direct child of the group; else nothing changes."""
+    if layers.where((F.col("id") == child) & (F.col("parent") == group)).isEmpty():
+        return layers
+    return without(layers, child, max_depth)
+
+
+def counts(layers: DataFrame) -> DataFrame:
+    """(top, layers, filters): top-level layers, all layers, filters."""
+    return layers.agg(F.count(F.when(F.col("parent").isNull(), 1)).alias("top"), F.count(F.lit(1)).alias("layers"), F.count(F.when(F.col("kind") == "filter", 1)).alias("filters"))
+
+
+def _away(v: Column) -> Column:
+    """Rounded, halves away from zero."""
+    return (F.signum(v) * F.floor(F.abs(v) + 0.5)).cast("int")
+
+
+def aligned(layers: DataFrame, mode: str, canvas: tuple[int, int] | None = None) -> DataFrame:
+    """Layers (x, y, w, h, centred) lined up in their common box or in the canvas.
+
+    ``mode`` is left, horizontal-center, right, top, vertical-center or bottom. A centred layer's position is its
+    centre. The box is one global aggregate, broadcast as one row.
+    """
+    modes = {"left": ("x", 0), "horizontal-center": ("x", 1), "right": ("x", 2), "top": ("y", 0), "vertical-center": ("y", 1), "bottom": ("y", 2)}
+    axis, to = modes[mode]
+    size = F.col("w" if axis == "x" else "h")
+    edge = F.when(F.col("centred"), _away(F.col(axis) - size / 2.0)).otherwise(F.col(axis))
+    if canvas:
+        box = layers.withColumns({"_lo": F.lit(0), "_hi": F.lit(canvas[axis == "y"])})
+    else:
+        box = layers.crossJoin(F.broadcast(layers.agg(F.min(edge).alias("_lo"), F.max(edge + size).alias("_hi"))))
+    at = [F.col("_lo"), _away((F.col("_lo") + F.col("_hi") - size) / 2.0), F.col("_hi") - size][to]
+    return box.withColumn(axis, F.when(F.col("centred"), _away(at + size / 2.0)).otherwise(at).cast("int")).select(*layers.columns)
+
+
+def patched_layers(layers: DataFrame, patches: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """Layers with a table of sparse patches (at most one a layer) merged in; opacity is kept in 0..1, unknown ids do nothing."""
+    p = patches.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    value = lambda f: F.coalesce(F.col(f"_{f}"), F.col(f))
+    new = {f: F.least(F.lit(1.0), F.greatest(F.lit(0.0), value(f))) if f == "opacity" else value(f) for f in fields}
+    return layers.join(p, key, "left").withColumns(new).select(*layers.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import color
 from strata.functions.blend import MODES, mode_code
 from strata.operators import analysis, compose, filters, geometry, neighbourhood, shapes, sheets, strokes, tree
+from strata.plans import drawing
 from strata.plans import oracle as O
 from strata.sources import codecs
 from strata.sources.views import layers, pixels, plane, table
@@ -213,3 +214,5 @@ select sheet, idx, x, y, w, h from p""",
     "detect_format": "select page_id, case page_id % 7 when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' when 3 then 'gif' when 4 then 'psd' else 'unknown' end format from pages",
     "png_round_trip": _px + "* from px",
 }
+QUERIES |= drawing.QUERIES
+ORACLE_SQL |= drawing.ORACLE_SQL
