@@ -7,8 +7,12 @@ MAX_BITS dropped, and what remains is verified on the whole shingle sets. Measur
 similarity 0.80 meets in some list with probability 0.95, at 0.85 with 0.985, at 0.9 with 0.998; verification is exact
 but for 32-bit collisions of shingle hashes.
 
-Scale: documents of one shingle set's fingerprint collapse; long lists are dealt in chunk pairs; in a chunk pair a
-document keeps its nearest partner there, and a spanning forest's worth of links is enough for the groups.
+Every pair that passes is settled, in two rounds. In the first a document keeps its nearest partner of each task, and
+a task names the documents whose other pairs it left. The second brings just these together again and verifies all
+their pairs, but for those within a group that the first has found and those whose set sizes rule out the similarity.
+
+Scale: documents of one shingle set's fingerprint collapse; long lists are dealt in chunk pairs. The second round's
+pairs grow with the square of a family of documents that pass the tally and aren't copies: each of them is verified.
 """
 
 from __future__ import annotations
@@ -77,21 +81,37 @@ def _nearest(task: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> n
     return keep
 
 
-def _meet(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs of whole lists that pass."""
+def _meet(x: dict[str, np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (a, b) of the pairs of whole lists that pass, and keys of the documents that have others.
+
+    Without ``component`` only pairs that are nearest to one of the two in their task are given; with it (and
+    ``shingles``, the sizes of the sets) all that are of two components and may reach the similarity.
+    """
     fp, key, task, second = [x[f"f{w}"].view(np.uint64) for w in range(WORDS64)], x["key"], x["task"], x["second"] == 1
+    every = "component" in x
+    group = x["component"] if every else key
     cut = group_starts(task)
     size = np.diff(cut)
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    left = [np.zeros(0, np.int64)]
 
-    def put(i: np.ndarray, j: np.ndarray) -> None:
+    def thin(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = _nearest(task[i], i, j, d)
+        left.append(np.unique(key[np.concatenate([i[~ok], j[~ok]])]))
+        return i[ok], j[ok], d[ok]
+
+    def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = group[i] != group[j]
+        if every:
+            n, m = x["shingles"][i], x["shingles"][j]
+            ok &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+        i, j = i[ok], j[ok]
         d = _distance(fp, i, j)
-        ok = (d <= MAX_BITS) & (key[i] != key[j])
+        ok = d <= MAX_BITS
         i, j, d = i[ok], j[ok], d[ok]
         ok = _shared_bytes(fp, i, j) >= MIN_BYTES
         i, j, d = i[ok], j[ok], d[ok]
-        ok = _nearest(task[i], i, j, d)
-        out.append((key[i[ok]], key[j[ok]]))
+        return (i, j, d) if every else thin(i, j, d)
 
     # short lists: all pairs of many lists at once
     short = size <= SHORT
@@ -105,23 +125,29 @@ def _meet(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             stop += 1  # a list stays whole
         r, n = rows[at:stop], after[at:stop]
         i = np.repeat(r, n)
-        put(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        i, j, _ = passing(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        out.append((key[i], key[j]))
         at = stop
     # long ones: list by list, in blocks
     for k in np.flatnonzero(~short).tolist():
         own = np.arange(cut[k], cut[k + 1])
         same = task[own[0]] >> 10 & 1023 == task[own[0]] & 1023
-        left, right = (own, own) if same else (own[~second[own]], own[second[own]])
-        step = max(1, STEP // max(1, len(right)))
-        for lo in range(0, len(left), step):
-            i, j = np.repeat(left[lo : lo + step], len(right)), np.tile(right, len(left[lo : lo + step]))
-            put(i, j)
-    return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) keys of fingerprints (key, f0..f3) that meet in the index, pass the tally and are nearest to one of the two there."""
-    names = [f"f{w}" for w in range(WORDS64)]
+        these, those = (own, own) if same else (own[~second[own]], own[second[own]])
+        step = max(1, STEP // max(1, len(those)))
+        found = []
+        for lo in range(0, len(these), step):
+            i, j = np.repeat(these[lo : lo + step], len(those)), np.tile(those, len(these[lo : lo + step]))
+            found.append(passing(i[i < j], j[i < j]) if same else passing(i, j))
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        i, j, _ = (i, j, d) if every else thin(i, j, d)
+        out.append((key[i], key[j]))
+    a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    return a, b, np.unique(np.concatenate(left))
+
+
+def _candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, others) of fingerprints (key, f0..f3) that meet in the index, as of _meet; others holds keys, packed, in rows without a and b."""
+    names = [f"f{w}" for w in range(WORDS64)] + [c for c in ("component", "shingles") if c in classes.columns]
     byte = lambda i: F.shiftrightunsigned(names[i // 8], i % 8 * 8).bitwiseAND(F.lit(255))
     keys = F.array(*[F.lit(n << 16).cast("long") + byte(i) * 256 + byte(j) for n, (i, j) in enumerate(PAIRS)])
     posting = classes.select("key", *names, F.explode(keys).alias("list"))
@@ -136,11 +162,24 @@ def _candidates(classes: DataFrame) -> DataFrame:
         for x in itertools.chain(_columns(batches), [None]):
             x = tail.join(x)
             if x is not None and len(x["task"]):
-                a, b = _meet(x)
+                a, b, others = _meet(x, similarity)
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.binary())], ["a", "b", "others"])
+                if len(others):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([others.tobytes()], pa.binary())], ["a", "b", "others"])
 
-    return small.repartition(partitions(classes.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    return small.repartition(partitions(classes.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, others binary").distinct()
+
+
+def _others(pairs: DataFrame) -> DataFrame:
+    """(key) of the documents that have more pairs than were given."""
+
+    def run(batches):
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], ["key"])
+
+    return pairs.where("others is not null").select("others").mapInArrow(run, "key long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -162,7 +201,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
 
     prints = materialize(slim.mapInArrow(print_, "key long, f0 long, f1 long, f2 long, f3 long"))
     classes = prints.groupBy(*parts).agg(F.min("key").alias("key"))
-    pairs = materialize(_candidates(classes))
+    met = materialize(_candidates(classes))
+    pairs = met.where("a is not null").select("a", "b")
     needed = pairs.select(F.col("a").alias("needed")).union(pairs.select("b")).distinct()
 
     def sets(batches):
@@ -182,10 +222,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
             m = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], ["a", "b"])
 
-    met = pairs.join(own.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    links = materialize(met.mapInArrow(verify, "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        return materialize(both.mapInArrow(verify, "a long, b long"))
+
+    links = verified(pairs)
     member = components(links)
+    # a document with other pairs is in one that was given, so its set is at hand
+    others = materialize(_others(met))
+    if not others.isEmpty():
+        again = classes.join(others, "key").join(member.withColumnRenamed("node", "key"), "key", "left").join(own.select("key", (F.octet_length("set") / 4).cast("long").alias("shingles")), "key")
+        more = materialize(_candidates(again.select("key", *parts, F.coalesce("component", "key").alias("component"), "shingles"), similarity))
+        links = links.union(verified(more.select("a", "b")))
+        member = components(links)
+        discard(more)
     discard(own)
+    discard(met)
+    discard(others)
     first = classes.join(member, F.col("key") == F.col("node"), "left").select(*parts, F.coalesce("component", "key").alias("first_key"))
     of = prints.join(first, parts).select(F.col("key").alias("print_key"), "first_key")
     met = rows.join(of, F.col("row_key") == F.col("print_key")).withColumn("is_first", F.col("row_key") == F.col("first_key"))

@@ -175,6 +175,51 @@ def test_near_copies(spark, docs, none):
     assert near_copies.near_copies(none).count() == 0
 
 
+def test_near_copies_in_a_family(spark):
+    """Real copies among many documents that are alike, but less than 0.8: all pairs that meet in the index count."""
+    rng = np.random.default_rng(11)
+
+    def changed(w, n):
+        out = list(w)
+        for i in rng.choice(len(w) // 5, n, replace=False) * 5 + 2:
+            out[i] = f"n{rng.integers(1 << 40)}"
+        return out
+
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    family = [changed(base, 6) for _ in range(300)]
+    texts = [" ".join(w) for w in family + [changed(w, 8) for w in family[:40]]]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    hashes = [near_copies.shingles(r, np.array([0, len(r)]))[0] for r in raw]
+    prints = [np.frombuffer(near_copies.wide_fingerprint(h), np.uint8) for h in hashes]
+    sets, low = [set(h.tolist()) for h in hashes], list(range(len(texts)))
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    meets = lambda x, y: any(x[i] == y[i] and x[j] == y[j] for i, j in near_copies.PAIRS) and np.bitwise_count(x ^ y).sum() <= near_copies.MAX_BITS
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(i, j) >= 0.8 and meets(prints[i], prints[j])]
+    assert len(links) >= 40 and sum(0.5 <= jaccard(i, j) < 0.8 for j in range(300) for i in range(j)) > 40000
+    for _ in texts:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    df = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DDL)
+    assert {r.doc_id for r in near_copies.near_copies(df).where("is_first").collect()} == set(low)
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_pairs_left_are_named(n):
+    """Short lists and long ones, in blocks: both ends of a pair that is not given are named; the second round gives it."""
+    rng = np.random.default_rng(n)
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), n, axis=0) ^ (rng.random((n, 256)) < 0.15)
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    words[:, 0] &= ~np.uint64(0xFFFF)
+    x = {"key": np.arange(n), "task": np.zeros(n, np.int64), "second": np.zeros(n, np.int8)} | {f"f{w}": words[:, w].view(np.int64) for w in range(4)}
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if np.bitwise_count(words[i] ^ words[j]).sum() <= near_copies.MAX_BITS}
+    pairs = lambda a, b: {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    a, b, others = near_copies._meet(x)
+    given, named = pairs(a, b), set(others.tolist())
+    assert given <= want and len(given) <= 2 * n and all(i in named and j in named for i, j in want - given)
+    a, b, _ = near_copies._meet(x | {"component": np.arange(n) // 2 * 2, "shingles": np.full(n, 9)})
+    assert pairs(a, b) == {(i, j) for i, j in want if i // 2 != j // 2}
+
+
 def test_language_gradients():
     net = langid.Network(["a", "b", "c"], 4)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
