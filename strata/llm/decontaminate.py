@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import tune
+from strata.llm.common import keyed, rest_of, tune
 from strata.llm.repeats import _TABLE, prefixes, spread, texts_of
 
 WINDOW, SHARE, VERIFIED, K1, B = 128, 0.5, 0.5, 1.2, 0.75
@@ -219,6 +219,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents without a verified item; rows with a null id are judged by their own text."""
-    bad = contaminated(docs.where(F.col(id_col).isNotNull()), items, id_col, text, **settings).select(F.col(id_col).alias("strata_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("strata_bad_id"), "left_anti")
+    """The documents without a verified item; each row is judged by its own text, whatever its id."""
+    rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), rest_of(docs.columns, text)), "id", "text")
+    bad = contaminated(rows.select("row_key", "text"), items, "row_key", "text", **settings).select(F.col("row_key").alias("bad_key")).distinct()
+    good = rows.join(bad, F.col("row_key") == F.col("bad_key"), "left_anti")
+    return good.select(*[F.col("text").alias(c) if c == text else F.col("own").getField(c).alias(c) for c in docs.columns])

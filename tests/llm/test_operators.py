@@ -303,6 +303,19 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_rows_are_cleaned_by_their_own_text(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join("w" + str(i) for i in rng.integers(0, 5000, n))
+    item = f"{text(20)}. {text(8)}."
+    leak, plain = f"{text(50)} {item} {text(50)}", [text(100) for _ in range(3)]
+    rows = [(None, leak), (None, plain[0]), (7, leak), (7, plain[1]), (8, plain[2])]
+    df = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], DDL)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontaminate.clean(df, bench)
+    assert out.columns == df.columns
+    assert got(out, "doc_id", "text") == Counter((i, t) for i, t in rows if t != leak)
+
+
 def test_warc(spark):
     pages = [(1, "http://a.b/c", "x"), (2, "http://a.b/c", "x"), (3, None, None), (4, "u", ""), (None, "q", "x"), (5, "http://a.b/c", "x"), (5, "http://a.b/c", "x"), (6, "http://A.b:80/z\n d?é", "é\r\n\r\n" * 3000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha1", F.lit(1))
