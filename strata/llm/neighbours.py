@@ -6,8 +6,10 @@
 3. Rounds of NN-descent: a node's list, the nodes that list it and the node itself meet (in parts of bounded size, so
    a hub is not one task's), and every pair there that beats a list's last entry joins that list. Rounds end when
    they bring hardly any new link.
-4. A list whose last entry is still a link is saturated: links may be missing. It is enlarged to all nodes of its
-   component, chunk by chunk, and only counts leave a task, so degrees are exact inside every component found.
+4. A list whose last entry is still a link is saturated: links may be missing. Saturated nodes are covered by
+   representatives, every node within the cover's radius and the threshold's angle of one meets the nodes that it
+   covers, and links that leave a component join it with the other. Then degrees are counted over all nodes of a
+   component, chunk by chunk, and only counts leave a task, so they are exact inside every component found.
 5. Recall is audited on a bounded set of rows against all rows; below RECALL the search goes on with longer lists.
 
 Cosines are taken in double precision from the components as stored. Nulls: a vector that is null, empty, zero or
@@ -30,6 +32,8 @@ from strata.llm.common import components, discard, keyed, materialize, partition
 from strata.llm.repeats import group_starts
 
 THRESHOLD, NEIGHBOURS, LEAF, LEAVES, ROUNDS, PART, CHUNK = 0.95, 10, 256, 3, 6, 32, 1024
+#: Representatives that are sent to the executors at once.
+SHARD = 4096
 #: Rows of the audit: those with the smallest hashes of their key.
 AUDIT, RECALL = 512, 0.95
 log = logging.getLogger(__name__)
@@ -178,6 +182,74 @@ def neighbour_graph(nodes: DataFrame, total: int, k: int = NEIGHBOURS, threshold
     return graph
 
 
+def _outside(nodes: DataFrame, graph: DataFrame, member: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): for each node, a link to a saturated node of each cover that it meets in another component."""
+    spark, angle = nodes.sparkSession, math.acos(min(1.0, threshold))
+    full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold)).select("u")
+    placed = nodes.select("row_key", "x").join(member, F.col("row_key") == F.col("node"), "left").select("row_key", "x", F.coalesce("component", "row_key").alias("component"))
+    saturated = placed.join(full, F.col("row_key") == F.col("u"), "left_semi")
+    size = saturated.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("c"))
+    dealt = saturated.join(size, "component").select("component", F.pmod(F.xxhash64("row_key"), F.col("c")).cast("int").alias("part"), "row_key", "x")
+
+    def cover(batches):
+        for g in _groups(batches, ["component", "part"]):
+            key = g.column("row_key").to_numpy()
+            for rows, x in _matrix(g.column("x")):
+                rep, c, todo = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.ones(len(rows), bool)
+                while todo.any():
+                    first = int(np.argmax(todo))
+                    near = x @ x[first]
+                    mine = todo & (near >= threshold)
+                    mine[first] = True
+                    rep[mine], c[mine], todo = first, near[mine], todo & ~mine
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(key[rows][rep]), pa.array(c)], ["covered", "rep", "near"])
+
+    n = partitions(spark)
+    covered = materialize(dealt.repartition(n, "component", "part").sortWithinPartitions("component", "part").mapInArrow(cover, "covered long, rep long, near double"))
+    reps = covered.groupBy("rep").agg(F.min("near").alias("near"))
+    count, found = reps.count(), None
+    for shard in range(-(-count // SHARD)):
+        own = reps.where(F.pmod(F.xxhash64("rep"), F.lit(-(-count // SHARD))) == shard).join(placed, F.col("rep") == F.col("row_key")).select("rep", "near", "x", "component").collect()
+        if not own:
+            continue
+        sent = spark.sparkContext.broadcast(([r["rep"] for r in own], [r["near"] for r in own], [bytes(r["x"]) for r in own], [r["component"] for r in own]))
+
+        def meet(batches, sent=sent):
+            rep, near, packs, component = sent.value
+            rep, component = np.array(rep), np.array(component)
+            least = np.cos(np.minimum(np.pi, np.arccos(np.clip(near, -1, 1)) + angle)) - 1e-9
+            theirs = _matrix(pa.array(packs, pa.binary()))
+            for b in batches:
+                key, of = b.column("row_key").to_numpy(), b.column("component").to_numpy()
+                for rows, x in _matrix(b.column("x")):
+                    for i, q in theirs:
+                        if q.shape[1] == x.shape[1]:
+                            v, r = np.nonzero((x @ q.T >= least[i]) & (of[rows][:, None] != component[i]))
+                            yield pa.RecordBatch.from_arrays([pa.array(key[rows][v]), pa.array(rep[i][r])], ["v", "rep"])
+
+        part = materialize(placed.mapInArrow(meet, "v long, rep long"))
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], "a long, b long")
+    parts = found.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    asking = found.join(parts, "rep").select("rep", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("key"), F.lit(True).alias("asks"))
+    asked = covered.join(parts, "rep").select("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("covered").alias("key"), F.lit(False).alias("asks"))
+    met = asking.union(asked).join(nodes.select(F.col("row_key").alias("key"), "x"), "key").select("rep", "part", "key", "asks", "x")
+
+    def verify(batches):
+        for g in _groups(batches, ["rep", "part"]):
+            key, asks = g.column("key").to_numpy(), g.column("asks").to_numpy(zero_copy_only=False)
+            for rows, x in _matrix(g.column("x")):
+                a = asks[rows]
+                hit = x[a] @ x[~a].T >= threshold
+                i = np.flatnonzero(hit.any(axis=1))
+                if len(i):
+                    # what a node covers with it is of one component, so one link joins the two
+                    yield pa.RecordBatch.from_arrays([pa.array(key[rows][a][i]), pa.array(key[rows][~a][hit[i].argmax(axis=1)])], ["a", "b"])
+
+    return materialize(met.repartition(n, "rep", "part").sortWithinPartitions("rep", "part").mapInArrow(verify, "a long, b long"))
+
+
 def _degrees(members: DataFrame, threshold: float) -> DataFrame:
     """(row_key, n): links of each of members (row_key, x, times, component) in its component, counting copies."""
     size = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("c"))
@@ -242,6 +314,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         graph = neighbour_graph(nodes, total, k, threshold)
         links = materialize(graph.where(F.col("c") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
         member = materialize(components(links).where("node is not null"))
+        outside = _outside(nodes, graph, member, k, threshold)
+        if not outside.isEmpty():
+            member = materialize(components(links.union(outside)).where("node is not null"))
         degrees = materialize(_degrees(nodes.join(member, F.col("row_key") == F.col("node")).select("row_key", "x", "times", "component"), threshold))
         recall = audit(nodes, degrees, threshold)
         log.info("links found of an audit of %d rows, with lists of %d: %.4f", min(AUDIT, total), k, recall)

@@ -360,3 +360,28 @@ def test_embeddings(spark):
     out = got(neighbours.near_duplicates(df), "vec_id", "n_links", "component_id", "kept")
     assert out == Counter((i, len(links[i]), low[i], low[i] == i) for i, _ in rows)
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def linked(x, threshold=0.95):
+    """(n_links, component_id) of each vector, by brute force."""
+    x = np.asarray(x, np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (x @ x.T >= threshold) & ~np.eye(len(x), dtype=bool)
+    low = np.arange(len(x))
+    for _ in x:
+        low = np.minimum(low, np.where(hit, low, len(x)).min(axis=1))
+    return [(i, int(n), int(c), i == c) for i, (n, c) in enumerate(zip(hit.sum(axis=1), low, strict=True))]
+
+
+def test_links_between_saturated_groups(spark):
+    """Two groups that fill one another's lists of neighbours, and a few links across."""
+    rng = np.random.default_rng(8)
+    centres = np.zeros((2, 16))
+    centres[0, 0], centres[1, :2] = 1, (math.cos(0.352), math.sin(0.352))
+    x = np.concatenate([c + 0.012 * rng.standard_normal((40, 16)) for c in centres])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    across = (unit[:40] @ unit[40:].T >= 0.95).sum()
+    assert 1 <= across <= 60 and (unit[:40] @ unit[:40].T).min() > 0.98
+    x = np.concatenate([x, rng.standard_normal((50, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    assert got(neighbours.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == Counter(linked(x))
