@@ -10,7 +10,10 @@
    representatives, every node within the cover's radius and the threshold's angle of one meets the nodes that it
    covers, and links that leave a component join it with the other. Then degrees are counted over all nodes of a
    component, chunk by chunk, and only counts leave a task, so they are exact inside every component found.
-5. Recall is audited on a bounded set of rows against all rows; below RECALL the search goes on with longer lists.
+5. Recall is audited on rows drawn by hash against all rows: the share of rows with links that have found all of
+   theirs, of rows with few links and of rows with many, whichever is less. Rows are drawn until ENOUGH with few links
+   are among them, or all are. Below RECALL the search goes on with longer lists, and where lists of 8 * NEIGHBOURS
+   don't do, all nodes are compared with all, block by block.
 
 Cosines are taken in double precision from the components as stored. Nulls: a vector that is null, empty, zero or
 holds a null or non-finite component links with nothing. Vectors of different lengths don't link. Repeated ids are
@@ -34,8 +37,8 @@ from strata.llm.repeats import group_starts
 THRESHOLD, NEIGHBOURS, LEAF, LEAVES, ROUNDS, PART, CHUNK = 0.95, 10, 256, 3, 6, 32, 1024
 #: Representatives that are sent to the executors at once.
 SHARD = 4096
-#: Rows of the audit: those with the smallest hashes of their key.
-AUDIT, RECALL = 512, 0.95
+#: Rows that the audit draws at first and at once at most; rows with few links that it needs.
+AUDIT, MOST, ENOUGH, RECALL = 512, 8192, 64, 0.95
 log = logging.getLogger(__name__)
 
 
@@ -138,15 +141,22 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "v"))).where(F.col("n") <= k).drop("n")
 
 
+def _leaves(bits: int) -> int:
+    """How many leaves it takes that a pair at the threshold shares one with a probability of 0.95 (a plane parts it by its angle)."""
+    share = (1 - math.acos(THRESHOLD) / math.pi) ** bits
+    return max(LEAVES, math.ceil(math.log(0.05) / math.log1p(-share))) if share < 1 else LEAVES
+
+
 def _start(nodes: DataFrame, total: int, k: int) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(total, 1) / LEAF)))
+    count = _leaves(bits)
 
     def code(batches):
         for b in batches:
             for rows, x in _matrix(b.column("x")):
                 part = b.take(pa.array(rows))
-                for r in range(LEAVES):
-                    leaf = _leaf_codes(x, bits, r) * LEAVES + r + x.shape[1] * (1 << 40)
+                for r in range(count):
+                    leaf = _leaf_codes(x, bits, r) * count + r + x.shape[1] * (1 << 40)
                     yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("x"), pa.array(leaf)], ["row_key", "x", "leaf"])
 
     leaves = nodes.select("row_key", "x").mapInArrow(code, "row_key long, x binary, leaf long")
@@ -283,25 +293,70 @@ def _degrees(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("row_key").agg(F.sum("n").alias("n"))
 
 
-def audit(nodes: DataFrame, degrees: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT) -> float:
-    """Share of the true links of a bounded set of nodes that ``degrees`` (row_key, n) counts."""
-    asked = nodes.join(degrees, "row_key", "left").select("row_key", "x", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.xxhash64("row_key"), "row_key").limit(rows).collect()
-    found = {r["row_key"]: r["n"] for r in asked}
-    at, packs = np.array([r["row_key"] for r in asked]), [bytes(r["x"]) for r in asked]
+def _compared(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that span the components of all links, and (row_key, n) as _degrees; every node meets every other."""
 
     def run(batches):
-        mine = [(i, x) for i, x in _matrix(pa.array(packs, pa.binary()))]
-        for b in batches:
-            key, times, n = b.column("row_key").to_numpy(), b.column("times").to_numpy(), np.zeros(len(at), np.int64)
-            for rows_, x in _matrix(b.column("x")):
-                for i, q in mine:
-                    if q.shape[1] == x.shape[1]:
-                        n[i] += ((q @ x.T >= threshold) & (at[i][:, None] != key[rows_][None, :])) @ times[rows_]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["row_key", "n"])
+        for g in _groups(batches, ["lo", "hi"]):
+            key, first = g.column("row_key").to_numpy(), g.column("own").to_numpy() == g.column("lo")[0].as_py()
+            same = g.column("lo")[0] == g.column("hi")[0]
+            for rows, x in _matrix(g.column("x")):
+                a, b = (rows, rows) if same else (rows[first[rows]], rows[~first[rows]])
+                hit = (x @ x.T if same else x[first[rows]] @ x[~first[rows]].T) >= threshold
+                # the smallest node that each reaches in the block
+                la, lb = key[a].copy(), key[b].copy()
+                while hit.size:
+                    top = np.iinfo(np.int64).max
+                    ma = np.minimum(la, np.where(hit, lb[None, :], top).min(axis=1))
+                    mb = ma if same else np.minimum(lb, np.where(hit, ma[:, None], top).min(axis=0))
+                    if (ma == la).all() and (mb == lb).all():
+                        break
+                    la, lb = ma, mb
+                for own, low in ((a, la),) if same else ((a, la), (b, lb)):
+                    m = key[own] != low
+                    yield pa.RecordBatch.from_arrays([pa.array(key[own][m]), pa.array(low[m])], ["a", "b"])
+
+    c = max(1, -(-nodes.count() // CHUNK))
+    every = nodes.select("row_key", "x", "times", F.lit(0).cast("long").alias("component"))
+    dealt = (
+        every.withColumn("own", F.pmod(F.xxhash64("row_key"), F.lit(c)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
+        .select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "row_key", "x")
+    )
+    met = dealt.repartition(partitions(nodes.sparkSession), "lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return materialize(met), materialize(_degrees(every, threshold))
+
+
+def audit(nodes: DataFrame, degrees: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT, enough: int = ENOUGH) -> float:
+    """Share of the nodes with links that ``degrees`` (row_key, n) counts all links of: of those with at most NEIGHBOURS or of the others, whichever is less.
+
+    Nodes are drawn by hash until ``enough`` with few links are among them, or all are.
+    """
+    parts, lo, step = max(1, -(-nodes.count() // rows)), 0, 1
+    whole, seen = [0, 0], [0, 0]
+    counted = nodes.join(degrees, "row_key", "left").select("row_key", "x", F.coalesce("n", F.lit(0)).alias("n"))
+    while lo < parts and seen[0] < enough:
+        asked = counted.where(F.pmod(F.xxhash64("row_key"), F.lit(parts)).between(lo, lo + step - 1)).collect()
+        lo, step = lo + step, min(2 * step, max(1, MOST // rows))
+        found = {r["row_key"]: r["n"] for r in asked}
+        at, packs = np.array([r["row_key"] for r in asked], np.int64), [bytes(r["x"]) for r in asked]
+
+        def run(batches, at=at, packs=packs):
+            mine = [(i, x) for i, x in _matrix(pa.array(packs, pa.binary()))]
+            for b in batches:
+                key, times, n = b.column("row_key").to_numpy(), b.column("times").to_numpy(), np.zeros(len(at), np.int64)
+                for rows_, x in _matrix(b.column("x")):
+                    for i, q in mine:
+                        if q.shape[1] == x.shape[1]:
+                            n[i] += ((q @ x.T >= threshold) & (at[i][:, None] != key[rows_][None, :])) @ times[rows_]
+                yield pa.RecordBatch.from_arrays([pa.array(at[n > 0]), pa.array(n[n > 0])], ["row_key", "n"])
 
-    true = nodes.select("row_key", "x", "times").mapInArrow(run, "row_key long, n long").groupBy("row_key").agg(F.sum("n").alias("n")).collect() if asked else []
-    links = sum(r["n"] for r in true)
-    return sum(min(found[r["row_key"]], r["n"]) for r in true) / links if links else 1.0
+        true = nodes.select("row_key", "x", "times").mapInArrow(run, "row_key long, n long").groupBy("row_key").agg(F.sum("n").alias("n")).collect() if asked else []
+        for r in true:
+            many = r["n"] > NEIGHBOURS
+            seen[many] += 1
+            whole[many] += found[r["row_key"]] >= r["n"]
+    return min(w / n if n else 1.0 for w, n in zip(whole, seen, strict=True))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -319,8 +374,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
             member = materialize(components(links.union(outside)).where("node is not null"))
         degrees = materialize(_degrees(nodes.join(member, F.col("row_key") == F.col("node")).select("row_key", "x", "times", "component"), threshold))
         recall = audit(nodes, degrees, threshold)
-        log.info("links found of an audit of %d rows, with lists of %d: %.4f", min(AUDIT, total), k, recall)
-        if recall >= RECALL or k >= 8 * NEIGHBOURS:
+        log.info("rows with links that have all of theirs, by an audit, with lists of %d: %.4f", k, recall)
+        if recall >= RECALL:
+            break
+        if k >= 8 * NEIGHBOURS:
+            links, degrees = _compared(nodes, threshold)
+            member = materialize(components(links).where("node is not null"))
             break
         k *= 2
     of = nodes.drop("x").join(member, F.col("row_key") == F.col("node"), "left").join(degrees, "row_key", "left").select("row_key", "low", "times", F.coalesce("component", "row_key").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))

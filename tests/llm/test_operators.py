@@ -385,3 +385,30 @@ def test_links_between_saturated_groups(spark):
     x = np.concatenate([x, rng.standard_normal((50, 16))])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     assert got(neighbours.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == Counter(linked(x))
+
+
+def test_audit_weighs_rows(spark):
+    """A large group that is found doesn't hide isolated pairs that are not, nor do many rows without a link."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 16))
+    x[:600] = x[0] + 0.02 * rng.standard_normal((600, 16))
+    x[2000:2080] = x[2080:2160] * 1.5 + 0.001
+    nodes = spark.createDataFrame([(i, bytearray(b"d" + r.tobytes()), 1) for i, r in enumerate(x)], "row_key long, x binary, times long")
+    true = {i: n for i, n, _, _ in linked(x)}
+    degrees = lambda ids: spark.createDataFrame([(i, true[i]) for i in ids], "row_key long, n long")
+    assert neighbours.audit(nodes, degrees(range(600))) < 0.9
+    assert neighbours.audit(nodes, degrees(range(3000))) == 1
+    rare = nodes.where("row_key >= 600 and (row_key < 2001 or row_key > 2079)")
+    assert neighbours.audit(rare, degrees([])) == 0
+
+
+def test_all_are_compared_in_the_end(spark, monkeypatch):
+    """Where the search finds nothing, with lists of any length, the result is right all the same."""
+    monkeypatch.setattr(neighbours, "neighbour_graph", lambda nodes, *_: spark.createDataFrame([], "u long, v long, c double"))
+    monkeypatch.setattr(neighbours, "CHUNK", 32)
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((120, 8))
+    x[20:60] = x[20] + 0.1 * rng.standard_normal((40, 8))
+    x[100:110] = x[:10] + 0.01
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    assert got(neighbours.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == Counter(linked(x))
