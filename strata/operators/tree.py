@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ def numbered(layers: DataFrame, key: str = "key") -> DataFrame:
     return layers.withColumn("idx", (F.row_number().over(Window.partitionBy("parent").orderBy(key)) - 1).cast("int"))
 
 
-def listed(layers: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Every layer with its depth and pre-order path, one join a level; stops when a level is empty."""
+def listed(layers: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Every layer with its depth and pre-order path, one join a level; stops when a level is empty, or at max_depth where one is given."""
     level = layers.where("parent is null").withColumn("depth", F.lit(0)).withColumn("path", F.format_string("%06d", "idx"))
     out, columns = level, level.columns
-    for d in range(1, max_depth):
+    for d in itertools.count(1) if max_depth is None else range(1, max_depth):
         up = level.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
         level = layers.join(up, F.col("parent") == F.col("_id")).withColumn("depth", F.lit(d)).withColumn("path", F.concat("_path", F.lit("/"), F.format_string("%06d", "idx"))).select(*columns)
         if level.isEmpty():
@@ -24,7 +26,7 @@ def listed(layers: DataFrame, max_depth: int = 16) -> DataFrame:
     return out
 
 
-def without(layers: DataFrame, root: str, max_depth: int = 16) -> DataFrame:
+def without(layers: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """The tree without a layer and what is below it; idx closes up."""
     gone = listed(layers, max_depth)
     path = gone.where(F.col("id") == root).select(F.col("path").alias("_root"))
@@ -55,7 +57,7 @@ def appended(layers: DataFrame, layer: str, parent: str | None, kind: str) -> Da
     return layers.unionByName(beside.select(*[v.alias(k) for k, v in values.items()]), allowMissingColumns=True)
 
 
-def without_child(layers: DataFrame, group: str, child: str, max_depth: int = 16) -> DataFrame:
+def without_child(layers: DataFrame, group: str, child: str, max_depth: int | None = None) -> DataFrame:
     """As ``without``, but only where the layer is a direct child of the group; else nothing changes."""
     if layers.where((F.col("id") == child) & (F.col("parent") == group)).isEmpty():
         return layers

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from strata.functions.blend import MODES
-from strata.operators import analysis, compose, filters, geometry, neighbourhood, strokes
+from strata.operators import analysis, compose, filters, geometry, neighbourhood, strokes, tree
 from strata.sources import codecs
 from strata.streaming import strokes as streamed
 
@@ -114,3 +114,9 @@ def test_palette(spark):
     assert [(r.idx, r.r, r.a) for r in analysis.extract_palette(px, 2).orderBy("idx").collect()] == [(0, 15, 255), (1, 225, 255)]
     assert analysis.extract_palette(px, 9).count() == 4
     assert [(r.r, r.a) for r in analysis.extract_palette(px.where("a = 0"), 3).collect()] == [(0, 0)]
+
+
+def test_layers_of_any_depth(spark):
+    rows = [(f"l{i}", f"l{i - 1}" if i else None, 0) for i in range(17)] + [("x", None, 1)]
+    layers = spark.createDataFrame(rows, "id string, parent string, idx int").coalesce(1).cache()
+    assert {r.id: r.depth for r in tree.listed(layers).select("id", "depth").collect()} == {"x": 0} | {f"l{i}": i for i in range(17)}
