@@ -1,37 +1,45 @@
 """Near copies by SimHash at a similarity (the pipeline's stage of operator 10): one document of each group stays.
 
 At a Jaccard similarity of 0.8 on five-word shingles about 15 % of SimHash bits differ, too many for 64 bits and a
-bound of 3. So the fingerprint has 256 bits (32 positional bytes, about a quarter of which stay equal), the inverted
-index is on pairs of positional bytes (PAIRS), shared positional bytes are tallied and pairs below MIN_BYTES or over
-MAX_BITS dropped, and what remains is verified on the whole shingle sets. Measured by simulation, an isolated pair at
-similarity 0.80 meets in some list with probability 0.95, at 0.85 with 0.985, at 0.9 with 0.998; verification is exact
-but for 32-bit collisions of shingle hashes.
-
-Every pair that passes is settled, in two rounds. In the first a document keeps its nearest partner of each task, and
-a task names the documents whose other pairs it left. The second brings just these together again and verifies all
-their pairs, but for those within a group that the first has found and those whose set sizes rule out the similarity.
-
-Scale: documents of one shingle set's fingerprint collapse; long lists are dealt in chunk pairs. The second round's
-pairs grow with the square of a family of documents that pass the tally and aren't copies: each of them is verified.
+bound of 3. So the fingerprint has 256 bits (32 positional bytes, of which a pair at 0.8 shares nine on average), and
+the inverted index is on pairs of positional bytes (PAIRS). Of the documents that meet in a list the shared positional
+bytes are tallied, pairs with fewer than MIN_BYTES or over MAX_BITS dropped, and what remains is verified on the whole
+shingle sets. Measured by simulation, an isolated pair at similarity 0.80 meets in some list with probability 0.95, at
+0.85 with 0.985, at 0.9 with 0.998; the tally then drops less than one in a thousand of them, and verification is
+exact but for 32-bit collisions of shingle hashes.
+
+What is verified are families, the groups that pairs which pass the tally connect; pairs never leave a task,
+only stars that span them. The first FIRST pairs of bytes name most of a large family, and the others
+give only what connects different families, so the candidates grow with the documents however long a list is. Within
+a family every document meets every other, chunk by chunk, on shingle sets; only stars of verified links are returned.
+
+Scale: documents of equal fingerprints are one. Comparing grows with the square of a list (a 65,536th of the corpus
+where documents are unlike) and of a family, both cut into chunk pairs; rows grow with a family's length times its
+number of chunks.
+
+Nulls: a null text is an empty one, and all empty texts are copies of one another. Repeated ids are separate rows; of
+equal ids the first text stays. A pair at exactly the similarity is linked. An empty table gives an empty result.
+Texts are read whole.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, discard, keyed, materialize, partitions, rest_of
-from strata.llm.repeats import _FOLD_TABLE, _columns, _Tail, group_starts, mix, prefixes, spread, texts_of, word_spans
+from strata.llm import postings
+from strata.llm.common import components, discard, keyed, materialize, rest_of
+from strata.llm.repeats import _FOLD_TABLE, group_starts, mix, prefixes, spread, texts_of, word_spans
 
 SHINGLE, SIMILARITY, WORDS64 = 5, 0.8, 4
 PAIRS = [(i, (i + d) % 32) for d in (1, 3) for i in range(32)]
-MIN_BYTES, MAX_BITS, CHUNK = 2, 72, 2048
-#: Lists up to SHORT are compared many at once; pairs compared at once.
-SHORT, STEP = 256, 1 << 18
+#: Pairs of bytes whose lists name the families; the others then look for links between families.
+FIRST = 8
+MIN_BYTES, MAX_BITS, CHUNK = 4, 72, 2048
+#: Shingles of a chunk of a family. A family of at most SMALL documents is compared along with others.
+SHINGLES, SMALL = 1 << 20, 16
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -60,132 +68,129 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _distance(fp: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    d = np.zeros(len(i), np.int64)
-    for w in fp:
-        d += np.bitwise_count(w[i] ^ w[j])
-    return d
-
-
-def _shared_bytes(fp: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The tally of equal positional bytes of each pair."""
-    return sum((w[i].view(np.uint8).reshape(-1, 8) == w[j].view(np.uint8).reshape(-1, 8)).sum(axis=1) for w in fp) if len(i) else np.zeros(0, np.int64)
-
-
-def _nearest(task: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs are the nearest one of their i or of their j in their task."""
-    keep = np.zeros(len(i), bool)
-    for x in (i, j):
-        order = np.lexsort((d, x, task))
-        keep[order[group_starts(task[order], x[order])[:-1]]] = True
-    return keep
-
-
-def _meet(x: dict[str, np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (a, b) of the pairs of whole lists that pass, and keys of the documents that have others.
-
-    Without ``component`` only pairs that are nearest to one of the two in their task are given; with it (and
-    ``shingles``, the sizes of the sets) all that are of two components and may reach the similarity.
-    """
-    fp, key, task, second = [x[f"f{w}"].view(np.uint64) for w in range(WORDS64)], x["key"], x["task"], x["second"] == 1
-    every = "component" in x
-    group = x["component"] if every else key
-    cut = group_starts(task)
-    size = np.diff(cut)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    left = [np.zeros(0, np.int64)]
-
-    def thin(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = _nearest(task[i], i, j, d)
-        left.append(np.unique(key[np.concatenate([i[~ok], j[~ok]])]))
-        return i[ok], j[ok], d[ok]
-
-    def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = group[i] != group[j]
-        if every:
-            n, m = x["shingles"][i], x["shingles"][j]
-            ok &= np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
-        i, j = i[ok], j[ok]
-        d = _distance(fp, i, j)
-        ok = d <= MAX_BITS
-        i, j, d = i[ok], j[ok], d[ok]
-        ok = _shared_bytes(fp, i, j) >= MIN_BYTES
-        i, j, d = i[ok], j[ok], d[ok]
-        return (i, j, d) if every else thin(i, j, d)
-
-    # short lists: all pairs of many lists at once
-    short = size <= SHORT
-    rows = np.flatnonzero(np.repeat(short, size))
-    after = (np.repeat(cut[1:], size) - 1 - np.arange(len(key)))[rows]
-    total = np.cumsum(after)
-    at = 0
-    while at < len(rows):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
-        while stop < len(rows) and task[rows[stop]] == task[rows[stop - 1]]:
-            stop += 1  # a list stays whole
-        r, n = rows[at:stop], after[at:stop]
-        i = np.repeat(r, n)
-        i, j, _ = passing(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
-        out.append((key[i], key[j]))
-        at = stop
-    # long ones: list by list, in blocks
-    for k in np.flatnonzero(~short).tolist():
-        own = np.arange(cut[k], cut[k + 1])
-        same = task[own[0]] >> 10 & 1023 == task[own[0]] & 1023
-        these, those = (own, own) if same else (own[~second[own]], own[second[own]])
-        step = max(1, STEP // max(1, len(those)))
-        found = []
-        for lo in range(0, len(these), step):
-            i, j = np.repeat(these[lo : lo + step], len(those)), np.tile(those, len(these[lo : lo + step]))
-            found.append(passing(i[i < j], j[i < j]) if same else passing(i, j))
-        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        i, j, _ = (i, j, d) if every else thin(i, j, d)
-        out.append((key[i], key[j]))
-    a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return a, b, np.unique(np.concatenate(left))
-
-
-def _candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, others) of fingerprints (key, f0..f3) that meet in the index, as of _meet; others holds keys, packed, in rows without a and b."""
-    names = [f"f{w}" for w in range(WORDS64)] + [c for c in ("component", "shingles") if c in classes.columns]
-    byte = lambda i: F.shiftrightunsigned(names[i // 8], i % 8 * 8).bitwiseAND(F.lit(255))
-    keys = F.array(*[F.lit(n << 16).cast("long") + byte(i) * 256 + byte(j) for n, (i, j) in enumerate(PAIRS)])
-    posting = classes.select("key", *names, F.explode(keys).alias("list"))
-    length = posting.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
-    dealt = posting.join(length, "list", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    # one long names the list and the pair of its chunks
-    task = F.col("list") * (1 << 20) + F.least("own", "other") * 1024 + F.greatest("own", "other")
-    small = dealt.select(task.alias("task"), (F.col("own") > F.col("other")).cast("byte").alias("second"), "key", *names)
+def _candidates(classes: DataFrame, pairs: list[tuple[int, int]], count: int) -> DataFrame:
+    """(a, b): stars that connect what passes the tally in the lists of the pairs of bytes; families where classes has them, else keys."""
+    parts = [f"f{w}" for w in range(WORDS64)]
+    name = "family" if "family" in classes.columns else "key"
+    byte = lambda i: F.shiftrightunsigned(parts[i // 8], i % 8 * 8).bitwiseAND(F.lit(255))
+    keys = F.array(*[F.lit(n << 16).cast("long") + byte(i) * 256 + byte(j) for n, (i, j) in enumerate(pairs)])
+    posting = classes.select(*dict.fromkeys(["key", name]), *parts, F.explode(keys).alias("list"))
 
     def run(batches):
-        tail = _Tail("task")
-        for x in itertools.chain(_columns(batches), [None]):
-            x = tail.join(x)
-            if x is not None and len(x["task"]):
-                a, b, others = _meet(x, similarity)
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.binary())], ["a", "b", "others"])
-                if len(others):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([others.tobytes()], pa.binary())], ["a", "b", "others"])
+        for table, cut, at in postings.blocks(batches, "list"):
+            fp = [table.column(c).to_numpy().view(np.uint64) for c in parts]
+            of = table.column(name).to_numpy()
+            found = [(of[:0], of[:0])]
+            for i, j in postings.pairs(cut, at):
+                other = of[i] != of[j]
+                i, j = i[other], j[other]
+                differ = [w[i] ^ w[j] for w in fp]
+                enough = np.flatnonzero(sum(postings.equal_bytes(d) for d in differ) >= MIN_BYTES)
+                near = enough[sum(np.bitwise_count(d[enough]).astype(np.int64) for d in differ) <= MAX_BITS]
+                found.append(postings.stars(of[i[near]], of[j[near]]))
+            a, b = postings.stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = postings.dealt(posting, "list", "key", len(pairs) * count, CHUNK)
+    return postings.gathered(dealt, "list").mapInArrow(run, "a long, b long").distinct()
+
+
+def _families(classes: DataFrame) -> DataFrame:
+    """(node, component) of the documents that have a candidate."""
+    count = classes.count()
+    first = materialize(_candidates(classes, PAIRS[:FIRST], count))
+    named = materialize(components(first))
+    labelled = classes.join(named, F.col("key") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "key").alias("family"))
+    rest = materialize(_candidates(labelled, PAIRS[FIRST:], count))
+    out = components(first.union(rest))
+    for df in (first, named, rest):
+        discard(df)
+    return out
+
 
-    return small.repartition(partitions(classes.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, others binary").distinct()
+def alike(sets: list[np.ndarray], cut: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sorted sets that meet (as in postings.pairs) and have at least the Jaccard similarity."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = [(np.zeros(0, np.int64),) * 2]
+
+    def passing(i: np.ndarray, j: np.ndarray, both: np.ndarray) -> None:
+        ok = both >= similarity * (size[i] + size[j] - both)
+        out.append((i[ok], j[ok]))
+
+    length = np.diff(cut)
+    small = np.repeat(length <= SMALL, length)
+    group = np.repeat(np.arange(len(length)), length)
+    # small groups: pairs that share a shingle, of many groups at once
+    own = np.repeat(np.arange(len(sets)), np.where(small, size, 0))
+    if len(own):
+        values = np.concatenate([s for s, few in zip(sets, small.tolist(), strict=True) if few])
+        order = np.lexsort((own, values, group[own]))
+        own = own[order]
+        shared = group_starts(group[own], values[order])
+        met = [(own[i] * len(sets) + own[j]) for i, j in postings.pairs(shared, np.zeros(len(own), np.int64))]
+        pair, both = np.unique(np.concatenate(met), return_counts=True)
+        i, j = np.divmod(pair, len(sets))
+        # a group of two chunks is compared only across them
+        lo, hi = at >> 42, at >> 21 & (1 << 21) - 1
+        ok = (lo[i] == hi[i]) | (at[i] != at[j])
+        passing(i[ok], j[ok], both[ok])
+    for g in np.flatnonzero(length > SMALL).tolist():
+        lo, hi = int(cut[g]), int(cut[g + 1])
+        left = right = np.arange(lo, hi)
+        if at[lo] != at[hi - 1]:
+            left, right = left[at[lo:hi] == at[lo]], left[at[lo:hi] != at[lo]]
+        both = _overlaps(sets[lo:hi], left - lo, right - lo)
+        i, j = np.nonzero(both >= similarity * (size[left][:, None] + size[right][None, :] - both))
+        ok = left[i] < right[j]
+        out.append((left[i[ok]], right[j[ok]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, often: int = SMALL, cells: int = 1 << 24) -> np.ndarray:
+    """Sizes of the intersections of the sets at left with those at right: rare shingles pair by pair, the others by matrix products."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    own, cut = own[order], group_starts(values[order])
+    length = np.diff(cut)
+    place = [np.full(len(sets), -1) for _ in range(2)]
+    for p, side in zip(place, (left, right), strict=True):
+        p[side] = np.arange(len(side))
+    out = np.zeros((len(left), len(right)), np.float32)
+    rare = own[np.repeat((length > 1) & (length <= often), length)]
+    bounds = np.concatenate(([0], np.cumsum(length[(length > 1) & (length <= often)])))
+    for i, j in postings.pairs(bounds, np.zeros(len(rare), np.int64)) if len(rare) else ():
+        for x, y in ((rare[i], rare[j]), (rare[j], rare[i])):
+            ok = (place[0][x] >= 0) & (place[1][y] >= 0)
+            np.add.at(out, (place[0][x[ok]], place[1][y[ok]]), 1)
+    many = np.flatnonzero(length > often)
+    for k in range(0, len(many), step := max(1, cells // len(sets))):
+        these = many[k : k + step]
+        holds = np.zeros((len(sets), len(these)), np.float32)
+        for n, s in enumerate(these.tolist()):
+            holds[own[cut[s] : cut[s + 1]], n] = 1
+        out += holds[left] @ holds[right].T
+    return out
 
 
-def _others(pairs: DataFrame) -> DataFrame:
-    """(key) of the documents that have more pairs than were given."""
+def _linked(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): stars that span the links of every family, of (family, key, set)."""
 
     def run(batches):
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], ["key"])
+        for table, cut, at in postings.blocks(batches, "family", 1 << 12):
+            key = table.column("key").to_numpy()
+            i, j = alike([np.frombuffer(x, np.uint32) for x in table.column("set").to_pylist()], cut, at, similarity)
+            a, b = postings.stars(key[i], key[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.where("others is not null").select("others").mapInArrow(run, "key long").distinct()
+    dealt = postings.dealt(sets, "family", "key", sets.count(), CHUNK, F.octet_length("set") / 4, SHINGLES)
+    return postings.gathered(dealt, "family").select("family", "key", "set", "at").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs and ``is_first``: whether a row is the first of its group (by id, nulls first; then text).
 
-    Groups are chains of verified links. A column is_first of docs is replaced; any other name may occur. Nulls: a null text is an empty one, and all empty texts are copies of one another.
+    Groups are chains of verified links. A column is_first of docs is replaced; any other name may occur.
     """
     names = [c for c in docs.columns if c != "is_first"]
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), rest_of(names, text)), "id", "text")
@@ -200,45 +205,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, w]) for w in range(WORDS64))], ["key", *parts])
 
     prints = materialize(slim.mapInArrow(print_, "key long, f0 long, f1 long, f2 long, f3 long"))
-    classes = prints.groupBy(*parts).agg(F.min("key").alias("key"))
-    met = materialize(_candidates(classes))
-    pairs = met.where("a is not null").select("a", "b")
-    needed = pairs.select(F.col("a").alias("needed")).union(pairs.select("b")).distinct()
+    classes = materialize(prints.groupBy(*parts).agg(F.min("key").alias("key")))
+    families = materialize(_families(classes))
 
     def sets(batches):
         for b in batches:
             out = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for _, _, data, offsets in texts_of(b.column(1)) for h in shingles(data, offsets, shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["key", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(out, pa.binary())], ["family", "key", "set"])
 
-    own = materialize(slim.join(needed, F.col("key") == F.col("needed"), "left_semi").mapInArrow(sets, "key long, set binary"))
-
-    def verify(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            m = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], ["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(verify, "a long, b long"))
-
-    links = verified(pairs)
+    met = slim.join(families, F.col("key") == F.col("node")).select("key", "text", "component")
+    own = materialize(met.mapInArrow(sets, "family long, key long, set binary"))
+    links = materialize(_linked(own, similarity))
     member = components(links)
-    # a document with other pairs is in one that was given, so its set is at hand
-    others = materialize(_others(met))
-    if not others.isEmpty():
-        again = classes.join(others, "key").join(member.withColumnRenamed("node", "key"), "key", "left").join(own.select("key", (F.octet_length("set") / 4).cast("long").alias("shingles")), "key")
-        more = materialize(_candidates(again.select("key", *parts, F.coalesce("component", "key").alias("component"), "shingles"), similarity))
-        links = links.union(verified(more.select("a", "b")))
-        member = components(links)
-        discard(more)
-    discard(own)
-    discard(met)
-    discard(others)
+    for df in (own, families, links):
+        discard(df)
     first = classes.join(member, F.col("key") == F.col("node"), "left").select(*parts, F.coalesce("component", "key").alias("first_key"))
     of = prints.join(first, parts).select(F.col("key").alias("print_key"), "first_key")
     met = rows.join(of, F.col("row_key") == F.col("print_key")).withColumn("is_first", F.col("row_key") == F.col("first_key"))

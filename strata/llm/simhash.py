@@ -4,15 +4,17 @@ Fingerprints: 64 majority bits over the XXH64 of word shingles. Two fingerprints
 differ, so at least 5 of their 8 positional bytes are equal. The inverted index is on positional bytes, four at a
 time: the 14 blocks of the Steiner system S(3,4,8) are such that every set of 5 byte positions holds exactly one
 block whole, so any pair that shares 5 bytes meets in at least one posting list, while a list of one byte alone would
-hold a 256th of the corpus. Per pair the shared positional bytes are tallied, pairs under the guaranteed minimum
-dropped, the rest verified on all bits.
+hold a 256th of the corpus. Of every pair that meets the shared positional bytes are tallied; pairs under the
+guaranteed minimum are dropped, and only the others are compared bit by bit.
 
 Scale: equal fingerprints collapse before indexing. A long posting list is cut into chunks and the chunk pairs are
-dealt to different tasks, so no list is one task's; a task returns only a spanning forest of the links it finds, so
+dealt to different tasks, so no list is one task's; a task returns only stars that span the links it finds, so
 the output grows with the rows, not with the square of a group.
 
 Nulls: a null text is an empty one (fingerprint 0). Repeated ids are separate rows; a null id keeps its row, and
-component_id, the smallest doc_id of the component, ignores nulls unless there is nothing else.
+component_id, the smallest doc_id of the component, ignores nulls unless there is nothing else. A bit that is set in
+exactly half of the hashes (a tie) is 0. An empty table gives an empty result. Whole texts are read however long they
+are, 65,536 hashes at a time. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm import postings
 from strata.llm.common import components, discard, keyed, materialize, tune
 
 BLOCKS = [c for c in itertools.combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 MIN_BYTES, MAX_BITS = 5, 3
-#: Entries of a posting list that one task compares with as many others at once.
+#: Entries of a posting list that one task compares with as many others.
 CHUNK = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -66,106 +68,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return rows.mapInArrow(run, f"row_key long, {id_col} {dict(docs.dtypes)[id_col]}, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
-    """Spanning forest of the links between the fingerprints a and b (each distinct; the same list if same)."""
-    nodes = a if same else np.concatenate([a, b])
-    root = np.arange(len(nodes))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out, off = [], 0 if same else len(a)
-    a8, b8 = a.view(np.uint8).reshape(-1, 8), b.view(np.uint8).reshape(-1, 8)
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        hit = np.bitwise_count(a[lo : lo + step, None] ^ b[None, :]) <= MAX_BITS
-        i, j = np.nonzero(hit)
-        i += lo
-        if same:
-            i, j = i[i < j], j[i < j]
-        tally = (a8[i] == b8[j]).sum(axis=1)
-        assert not len(tally) or tally.min() >= MIN_BYTES
-        ri, rj = root[i], root[j + off]
-        for x, y in zip(i[ri != rj].tolist(), j[ri != rj].tolist(), strict=True):
-            p, q = find(x), find(y + off)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((nodes[x], nodes[y + off]))
-        for k in range(len(root)) if len(out) < 64 else ():
-            root[k] = find(k)
-        if len(out) >= 64:
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root[:] = up
-    return np.array(out, np.uint64).reshape(-1, 2)
-
-
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that span the components of the distinct fingerprints ``fp`` at MAX_BITS or fewer."""
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     keys = F.array(*[F.lit(n).cast("long") * (1 << 32) + byte[p] + byte[q] * 256 + byte[r] * 65536 + byte[s] * 16777216 for n, (p, q, r, s) in enumerate(BLOCKS)])
     posting = fps.select("fp", F.explode(keys).alias("list"))
-    length = posting.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), "c").cast("int")
-    dealt = (
-        posting.join(length, "list")
-        .withColumn("c", chunks)
-        .withColumn("own", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
-    )
 
     def run(batches):
-        held = None
-        for pdf in itertools.chain(batches, [None]):
-            if pdf is not None:
-                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-                if not len(held):
-                    continue
-                cut = held[["list", "lo", "hi"]].to_numpy()
-                same = (cut == cut[-1]).all(axis=1)
-                if same.all():
-                    continue
-                n = len(held) - int(np.argmin(same[::-1]))
-                full, held = held.iloc[:n], held.iloc[n:].reset_index(drop=True)
-            else:
-                full, held = held, None
-            if full is None or not len(full):
-                continue
-            ids = full[["list", "lo", "hi"]].to_numpy()
-            bounds = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1), [True])))
-            fp, own = full["fp"].to_numpy(np.int64).view(np.uint64), full["own"].to_numpy()
-            found = []
-            for s, e in itertools.pairwise(bounds.tolist()):
-                if e - s < 2:
-                    continue
-                if ids[s, 1] == ids[s, 2]:
-                    if e - s == 2:
-                        if int(fp[s] ^ fp[s + 1]).bit_count() <= MAX_BITS:
-                            found.append(fp[None, s:e])
-                        continue
-                    found.append(_forest(fp[s:e], fp[s:e], True))
-                else:
-                    x, first = fp[s:e], own[s:e] == ids[s, 1]
-                    found.append(_forest(x[first], x[~first], False))
-            if found:
-                e = np.concatenate(found).view(np.int64)
-                yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
-
-    return dealt.repartition("task").sortWithinPartitions("list", "lo", "hi").select("list", "lo", "hi", "own", "fp").mapInPandas(run, "a long, b long").distinct()
+        for table, cut, at in postings.blocks(batches, "list"):
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            found = [(fp[:0], fp[:0])]
+            for i, j in postings.pairs(cut, at):
+                differ = fp[i] ^ fp[j]
+                enough = postings.equal_bytes(differ) >= MIN_BYTES
+                near = np.flatnonzero(enough)[np.bitwise_count(differ[enough]) <= MAX_BITS]
+                found.append(postings.stars(fp[i[near]], fp[j[near]]))
+            a, b = postings.stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    dealt = postings.dealt(posting, "list", "fp", len(BLOCKS) * fps.count(), CHUNK)
+    return postings.gathered(dealt, "list").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(row_key, id_col, fp, first_key, component_id) per row; first_key is the smallest row_key of the component."""
     tune(docs.sparkSession)
     fps = materialize(fingerprints(docs, id_col, text, shingle, seed))
-    classes = fps.groupBy("fp").agg(F.min("row_key").alias("first_key"), F.min(id_col).alias("low"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("row_key").alias("first_key"), F.min(id_col).alias("low")))
     edges = materialize(links(classes.select("fp")))
     member = components(edges)
     discard(edges)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strata.llm.common import keyed, rest_of
 from strata.llm.repeats import Repeats, covered, group_starts, word_tokens
@@ -143,5 +144,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["own", "text", "n_words", "n_removed", "kept"])
 
     marked = with_ranges(rows, repeats).select("own", "text", "r")
-    out = marked.mapInArrow(run, f"own {marked.schema['own'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
+    more = [StructField(c, t) for c, t in (("text", StringType()), ("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType()))]
+    out = marked.mapInArrow(run, StructType([marked.schema["own"], *more]))
     return out.select(*[F.col("text").alias(c) if c == text else F.col("own").getField(c).alias(c) for c in names], "n_words", "n_removed", "kept")

@@ -1,5 +1,6 @@
 """The shared folder, row keys and components."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import common
@@ -13,6 +14,7 @@ class _Unset:
 
     class sparkContext:
         applicationId = "an application"
+        master = "local[2]"
         getConf = staticmethod(dict)
 
 
@@ -21,6 +23,12 @@ def test_folder_where_none_is_named():
     assert first.startswith("file:///") and common.shared_dir(_Unset) == first
 
 
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    monkeypatch.setattr(_Unset.sparkContext, "master", "spark://a:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(_Unset)
+
+
 def test_row_keys(spark):
     ids = spark.createDataFrame([(3, "b"), (None, "a"), (3, "a"), (3, "a"), (1, None)], "i long, t string")
     rows = common.keyed(ids, "i", "t").orderBy("row_key").collect()

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, langid, lm_score, mixing, near_copies, neighbours, queries, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from strata.llm import decontaminate, langid, lm_score, mixing, near_copies, neighbours, postings, queries, simhash, substring_dedup, suffix_dedup, token_counts, warc
 from strata.llm.common import components, table
 
 RNG = np.random.default_rng(5)
@@ -188,36 +188,78 @@ def test_near_copies_in_a_family(spark):
     base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
     family = [changed(base, 6) for _ in range(300)]
     texts = [" ".join(w) for w in family + [changed(w, 8) for w in family[:40]]]
-    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    hashes = [near_copies.shingles(r, np.array([0, len(r)]))[0] for r in raw]
-    prints = [np.frombuffer(near_copies.wide_fingerprint(h), np.uint8) for h in hashes]
-    sets, low = [set(h.tolist()) for h in hashes], list(range(len(texts)))
-    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-    meets = lambda x, y: any(x[i] == y[i] and x[j] == y[j] for i, j in near_copies.PAIRS) and np.bitwise_count(x ^ y).sum() <= near_copies.MAX_BITS
-    links = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(i, j) >= 0.8 and meets(prints[i], prints[j])]
-    assert len(links) >= 40 and sum(0.5 <= jaccard(i, j) < 0.8 for j in range(300) for i in range(j)) > 40000
-    for _ in texts:
-        for i, j in links:
-            low[i] = low[j] = min(low[i], low[j])
     df = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DDL)
+    low, pairs = first_of(texts)
+    assert sum(0.5 <= v < 0.8 for v in pairs.values()) > 40000 and sum(v >= 0.8 for v in pairs.values()) >= 40
     assert {r.doc_id for r in near_copies.near_copies(df).where("is_first").collect()} == set(low)
 
 
-@pytest.mark.parametrize("n", [40, 700])
-def test_pairs_left_are_named(n):
-    """Short lists and long ones, in blocks: both ends of a pair that is not given are named; the second round gives it."""
-    rng = np.random.default_rng(n)
-    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), n, axis=0) ^ (rng.random((n, 256)) < 0.15)
-    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    words[:, 0] &= ~np.uint64(0xFFFF)
-    x = {"key": np.arange(n), "task": np.zeros(n, np.int64), "second": np.zeros(n, np.int8)} | {f"f{w}": words[:, w].view(np.int64) for w in range(4)}
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if np.bitwise_count(words[i] ^ words[j]).sum() <= near_copies.MAX_BITS}
-    pairs = lambda a, b: {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    a, b, others = near_copies._meet(x)
-    given, named = pairs(a, b), set(others.tolist())
-    assert given <= want and len(given) <= 2 * n and all(i in named and j in named for i, j in want - given)
-    a, b, _ = near_copies._meet(x | {"component": np.arange(n) // 2 * 2, "shingles": np.full(n, 9)})
-    assert pairs(a, b) == {(i, j) for i, j in want if i // 2 != j // 2}
+def first_of(texts, n=5, similarity=0.8):
+    """For each text the first one that chains of pairs at the similarity lead to, and the pairs' similarities above 0, by brute force."""
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in split]
+    low, pairs = list(range(len(texts))), {}
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if x == y or x & y:
+                pairs[i, j] = len(x & y) / len(x | y) if x | y else 1.0
+    near = [p for p, v in pairs.items() if v >= similarity]
+    before = None
+    while before != low:
+        before = list(low)
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    return low, pairs
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_alike_in_chunks(spark, monkeypatch, few):
+    """Families of several chunks, compared with others or alone, link what brute force links."""
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    monkeypatch.setattr(near_copies, "SMALL", few)
+    rng = np.random.default_rng(few)
+    rows, want = [], []
+    for family in range(12):
+        base = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+        sets = [np.unique(np.where(rng.random(60) < 0.1, rng.integers(0, 1 << 32, 60, dtype=np.uint32), base)) for _ in range(3 * family + 1)]
+        keys = [family * 100 + i for i in range(len(sets))]
+        rows += [(family, k, bytearray(x.tobytes())) for k, x in zip(keys, sets)]
+        want += [(k, m) for k, x in zip(keys, sets) for m, y in zip(keys, sets) if k < m and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))]
+    low = {k: k for _, k, _ in rows}
+    for _ in range(40):
+        for a, b in want:
+            low[a] = low[b] = min(low[a], low[b])
+    assert 0 < len(want) and len(set(low.values())) > 12
+    edges = near_copies._linked(spark.createDataFrame(rows, "family long, key long, set binary"), 0.8)
+    found = {r.node: r.component for r in components(edges).collect()}
+    assert {k: found.get(k, k) for k in low} == low
+
+
+def test_stars_and_pairs():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 300, (2, 200))
+    low = np.arange(300)
+    for _ in range(300):
+        for i, j in zip(a, b):
+            low[i] = low[j] = min(low[i], low[j])
+    node, root = postings.stars(a, b)
+    got_low = np.arange(300)
+    got_low[node] = root
+    assert (got_low == low).all() and len(node) == len(set(node.tolist()))
+    pair = lambda lo, hi, own: lo << 42 | hi << 21 | own
+    at = np.array([0, 0, 0, pair(0, 2, 0), pair(0, 2, 0), pair(0, 2, 2), 0])
+    met = [(i, j) for x, y in postings.pairs(np.array([0, 3, 6, 7]), at, 2) for i, j in zip(x.tolist(), y.tolist())]
+    assert met == [(0, 1), (0, 2), (1, 2), (3, 5), (4, 5)]
+    words_ = rng.integers(0, 1 << 63, (2, 500), dtype=np.uint64) & rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    assert (postings.equal_bytes(words_[0] ^ words_[1]) == (words_[0].view(np.uint8) == words_[1].view(np.uint8)).reshape(-1, 8).sum(axis=1)).all()
+
+
+def test_count_filter(spark):
+    """Pairs under the guaranteed minimum of shared bytes are no candidates, pairs at three bits are links."""
+    base = 0x0123456789ABCDEF
+    fps = [base, base ^ 0x10101, base ^ 0x1010101 << 16, base ^ 7]
+    found = {r.node: r.component for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    assert found == {f: min(base, base ^ 0x10101, base ^ 7) for f in (base, base ^ 0x10101, base ^ 7)}
 
 
 def test_language_gradients():
