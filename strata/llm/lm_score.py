@@ -5,26 +5,34 @@ count(w) / N at last. The tables hold every word, and n-grams that occur MIN_COU
 n-grams are counted, so one that is nowhere else is not evidence for itself). count(c) counts c as a context, that is
 where a word follows it.
 
-Documents are dealt to groups by hash. A group's distinct n-grams, counted (the combiner), go to the partition of
-their hash; there the count table is summed and joined back to the rows that asked, and the counts return to the
-group, which sums the scores of its documents. Hot n-grams are one entry a group. An n-gram is a 64-bit hash, sorted
-and stored as differences, and what moves grows with the corpus, never with the square of anything.
+Documents are dealt to groups by hash (of GROUP documents or GROUP_BYTES of text). A group's distinct n-grams, counted
+(the combiner), go to the bucket of their hash, of which there are as many as the corpus has n-grams by BUCKET. The
+count table is partitioned by those buckets: where a bucket's rows meet, its part of the table is summed and joined to
+the rows that asked, in one shuffle, since both sides are the same rows. The counts return to the group, which sums
+the scores of its documents. Hot n-grams are one entry a group, and a task holds one bucket of one order at a time,
+read in sorted order. An n-gram is a 64-bit hash, sorted and stored as differences, many to a row, and what moves
+grows with the corpus, never with the square of anything.
 
 Sums are of integers (millionths of a natural logarithm), so they don't depend on any order. Nulls: a null or empty
-text has no words and score 0. Repeated ids are separate rows.
+text has no words and score 0. Repeated ids are separate rows, and repeated texts score alike. An empty table gives an
+empty result. Texts are read whole, a very long one as a group of its own. Only the id and the text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import keyed, partitions
+from strata.llm.common import WORD, keyed, partitions
 from strata.llm.repeats import _TABLE, group_starts, mix, prefixes, spread, texts_of, word_spans
 
-ORDER, MIN_COUNT, BACKOFF, GROUP = 2, 2, 0.4, 500
+ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
+GROUP, GROUP_BYTES, BUCKET = 500, 4 << 20, 4 << 20
 UNIT = 1e6
 
 
@@ -106,7 +114,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     """(id_col, n_words, n_backoff, score, mean_score): n_backoff counts the words scored below the full order."""
     spark = docs.sparkSession
     rows = keyed(docs.select(id_col, F.col(text).alias("text")), id_col, "text")
-    n_groups, p = max(1, rows.count() // GROUP), partitions(spark)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0)).alias("words")).first()
+    corpus = size["words"]
+    n_groups = max(1, size["n"] // GROUP, size["bytes"] // GROUP_BYTES)
+    p = max(2 * partitions(spark), corpus * order // BUCKET)
     dealt = rows.select(F.pmod(F.xxhash64("row_key"), F.lit(n_groups)).alias("g"), "row_key", id_col, "text")
 
     def ask(table: pa.Table) -> pa.Table:
@@ -123,13 +134,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
         return pa.table({k: pa.array(v, pa.binary() if k in ("h", "counts", "followed") else pa.int64()) for k, v in out.items()})
 
     def answer(batches):
-        held: dict[tuple, list] = {}
-        for b in batches:
-            for x in b.to_pylist():
-                held.setdefault((x["bucket"], x["n"]), []).append(x)
-        _release()
-        for bucket, n in sorted(held):
-            own = held.pop((bucket, n))
+        rows_ = (x for b in batches for x in b.to_pylist())
+        for (bucket, n), own in itertools.groupby(rows_, key=lambda x: (x["bucket"], x["n"])):
+            own = list(own)
             h = np.concatenate([_unpack(x["h"]) for x in own])
             table, place = np.unique(h, return_inverse=True)
             total, followed = (np.bincount(place, np.concatenate([_from_ints(x[c], x["size"]) for x in own]), len(table)).astype(np.int64) for c in ("counts", "followed"))
@@ -140,6 +147,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
                 s = slice(at, at + x["size"])
                 at = s.stop
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((x["g"], pa.int64()), (n, pa.int64()), (bucket, pa.int64()), (x["size"], pa.int64()), (_ints(total[s]), pa.binary()), (_ints(followed[s]) if n < order - 1 else b"", pa.binary()))], ["g", "n", "bucket", "size", "counts", "followed"])
+            _release()
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         own, answers = _tables(left, order), right.to_pylist()
@@ -173,9 +181,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
             count[i:j] = np.diff(bounds)
         return pa.table({id_col: left.column(id_col), "n_words": pa.array(count), "n_backoff": pa.array(back), "score": pa.array(total / UNIT), "mean_score": pa.array(np.floor(total / np.maximum(count, 1) + 0.5) / UNIT)})
 
-    corpus = dealt.select(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
     asked = dealt.groupBy("g").applyInArrow(ask, "g long, n long, bucket long, size long, h binary, counts binary, followed binary")
-    answered = asked.repartition(p, "bucket").mapInArrow(answer, "g long, n long, bucket long, size long, counts binary, followed binary")
+    answered = asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "n").mapInArrow(answer, "g long, n long, bucket long, size long, counts binary, followed binary")
     kind = dict(docs.dtypes)[id_col]
     return dealt.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(sum_up, f"`{id_col}` {kind}, n_words long, n_backoff long, score double, mean_score double")
 
