@@ -3,18 +3,21 @@
 A batch is a set of signed changes: an insert adds a document and its tokens to a group, a delete takes them away, a
 revised count (other text, other tokenizer version, corrected language) is a delete and an insert. A batch is summed
 by group before it is written, so a hot source is a row per task. Its files are written first; it counts from the
-moment its commit file exists, which is created only if it isn't there yet. So a batch that is sent again, or by two
-drivers at once, counts once, and a driver lost before the commit leaves nothing that counts. Totals are sums of the
-committed deltas.
+moment its commit file names them, and the file is created only if it isn't there yet. So a batch that is sent again,
+or by two drivers at once, counts once, as a commit file names one set of files. A driver lost before the commit, or
+after it has created the file and before it has written the name into it, leaves nothing that counts: a file without a
+whole name is no commit, and the next to send the batch replaces it. Totals are sums of the committed deltas.
 
 Nulls: a null text has 0 tokens; a null source or language is a group of its own. Groups whose documents and tokens
-are all taken away are not in the totals.
+are all taken away are not in the totals. Of equal texts (ties) the one with the smallest id, nulls first, is kept.
+An empty table has no totals. Texts are tokenized whole. Other columns of documents may have any name.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 import uuid
 
 import pyarrow as pa
@@ -30,6 +33,7 @@ TOKENIZERS = os.environ.get("STRATA_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP = ["source", "lang", "tokenizer"]
 _encodings: dict[str, object] = {}
+_WHOLE = re.compile("[0-9a-f]{32}")
 
 
 def ranks(name: str, folder: str = TOKENIZERS) -> bytes:
@@ -86,7 +90,8 @@ class Rollup:
         if not self._fs.exists(at):
             return {}
         names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return {bytes.fromhex(n).decode(): f"{self.folder}/deltas/{self._read(f'{self.folder}/commits/{n}')}" for n in names if not n.startswith(".")}
+        found = {n: self._read(f"{self.folder}/commits/{n}") for n in names if not n.startswith(".")}
+        return {bytes.fromhex(n).decode(): f"{self.folder}/deltas/{data}" for n, data in found.items() if _WHOLE.fullmatch(data)}
 
     def _read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
@@ -103,14 +108,16 @@ class Rollup:
         data = uuid.uuid4().hex
         delta.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.folder}/deltas/{data}")
         self._fs.mkdirs(self._path(f"{self.folder}/commits"))
-        # the claim is created without overwriting and names the data: of two drivers at once, one wins
+        # created without overwriting: of two drivers at once, one wins
         claim = self._path(f"{self.folder}/commits/{key}")
         try:
             out = self._fs.create(claim, False)
         except Py4JJavaError:
             if batch in self.committed():
                 return False
-            raise
+            if not self._fs.exists(claim):
+                raise
+            out = self._fs.create(claim, True)  # left by a driver that was lost before it wrote the name
         out.write(bytearray(data.encode()))
         out.close()
         return True
@@ -132,8 +139,9 @@ def corpus_rollup(docs: DataFrame, folder: str | None = None, first: str = "byte
     rows = keyed(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")), "doc_id", "text").select("row_key", "source", "lang", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     moved = ~F.col("lang").eqNullSafe(F.lit("en"))
     counts = materialize(counted(rows, {first: F.lit(True), later: moved}))
-    again = counts.groupBy("digest").agg(F.min("row_key").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = counts.join(again, "digest").where("row_key <> kept")
+    # the first of each text by partial minima; rows that aren't one of them go, joined by row and not by text
+    first_rows = counts.groupBy("digest").agg(F.min("row_key").alias("kept")).select("kept")
+    gone = counts.join(first_rows, F.col("row_key") == F.col("kept"), "left_anti")
     rollup = Rollup(spark, folder or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     batches = {
         "insert": changes(counts, 1, first),
