@@ -4,33 +4,41 @@ Index: an inverted file of the items' terms with BM25 impacts, each item's divid
 so one threshold means the same share of any item. Posting lists are cut into blocks with their largest impacts.
 Retrieval: documents are cut into overlapping passages of WINDOW words (or twice the longest item), and block-max
 WAND returns every item at SHARE of its own score or more. Items are numbered by their own scores and cut into BLOCKS
-aligned blocks, so that the short items, which common words reach, share blocks. The bounds, sums of the block maxima
-of a passage's distinct terms, are tested for whole batches of passages at once; only in blocks that can reach the
-threshold do the terms' cursors move to the block and score its items.
+aligned blocks, so that the short items, which common words reach, share blocks. Which blocks can reach the threshold
+at all, by the sums of the block maxima of a passage's distinct terms, is found for whole batches of passages at once;
+a passage with such a block is searched by cursors in item order, with pivots and skips of blocks (Index.wand).
 Verification: an item counts as leaked where VERIFIED of the question's and of the answer's word runs stand in the
 passage. The last sentence is the answer (the last quarter of an item of one sentence), the rest the question.
 
-Only shards of the items of at most SHARD_BYTES of text are sent to the executors, one after another; statistics are
-of all items. Words are runs of ASCII letters and digits and bytes over 127, A-Z lower-cased.
+Only shards of the items, of about SHARD_BYTES of text, are read by the driver and sent to the executors, one after
+another; statistics are of all items and are made and joined by Spark. Words are runs of ASCII letters and digits and
+bytes over 127, A-Z lower-cased.
 
 Nulls: a null document or item has no words; an item without words leaks nowhere. Repeated ids are separate rows of
-the input but one row of the result per (document id, item id).
+the input but one row of the result per (document id, item id), the best; of passages with equal scores (ties) the
+one with the larger overlaps counts. Empty documents or items give an empty result. Whole texts are searched, however
+long, about a megabyte of passages at a time. Ids may be of any type that can be sorted; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from strata.llm.common import keyed, rest_of, tune
-from strata.llm.repeats import _TABLE, prefixes, spread, texts_of
+from strata.llm.common import keyed, materialize, rest_of, tune
+from strata.llm.repeats import _TABLE, group_starts, prefixes, spread, texts_of
 
 WINDOW, SHARE, VERIFIED, K1, B = 128, 0.5, 0.5, 1.2, 0.75
 BLOCKS, SHARD_BYTES = 32, 8 << 20
+#: Block maxima are kept in single precision; bounds are tested this much lower.
+SLACK = 1e-4
+SCORES = ["score", "question_overlap", "answer_overlap"]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -75,32 +83,27 @@ def overlap(part: list[int], passage: list[int], run: int = 3) -> float:
 
 
 class Index:
-    """Block-max index of the items; impacts are shares of an item's own score."""
-
-    def __init__(self, items: list[tuple], idf: dict[int, float], mean_length: float):
-        scored = []
-        for i, text in items:
-            words = _of(text)
-            counts: dict[int, int] = {}
-            for w in words:
-                counts[w] = counts.get(w, 0) + 1
-            impact = {w: idf[w] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean_length)) for w, c in counts.items()}
-            scored.append((sum(impact.values()), i, text, impact, len(words)))
-        scored.sort(key=lambda x: x[:2])
-        self.ids = [x[1] for x in scored]
-        self.parts = [question_and_answer(x[2]) for x in scored]
-        self.longest = max(x[4] for x in scored)
-        self.wide = -(-len(scored) // BLOCKS)
-        self.vocabulary = np.unique(np.array([w for x in scored for w in x[3]], np.uint64))
-        place = {w: t for t, w in enumerate(self.vocabulary.tolist())}
-        postings = sorted((place[w], n, v / x[0]) for n, x in enumerate(scored) for w, v in x[3].items())
-        term = np.array([t for t, _, _ in postings])
-        self.items, self.impacts = np.array([n for _, n, _ in postings]), np.array([v for _, _, v in postings])
+    """Inverted file of items: posting lists in item order, with the largest impact of a list and of each of its blocks.
+
+    Impacts are shares of an item's own score. ``item``, ``term`` and ``impact`` are rows, ``texts`` maps items to texts.
+    """
+
+    def __init__(self, texts: dict[int, str], item: np.ndarray, term: np.ndarray, impact: np.ndarray):
+        keys, at = np.unique(item, return_inverse=True)
+        total = np.bincount(at, impact)
+        order = np.lexsort((keys, total))
+        self.ids = keys[order].tolist()
+        self.parts = [question_and_answer(texts[k]) for k in self.ids]
+        self.longest = max(len(q) + len(a) for q, a in self.parts)
+        self.wide = -(-len(keys) // BLOCKS)
+        self.vocabulary, number = np.unique(term, return_inverse=True)
+        place = np.argsort(order)[at]
+        sort = np.lexsort((place, number))
+        self.items, self.impacts = place[sort], (impact / total[at])[sort]
+        self.first = np.searchsorted(number[sort], np.arange(len(self.vocabulary) + 1))
         self.best = np.zeros((len(self.vocabulary), BLOCKS), np.float32)
-        np.maximum.at(self.best, (term, self.items // self.wide), self.impacts.astype(np.float32))
-        # where the postings of a term in a block begin
-        cell = term * BLOCKS + self.items // self.wide
-        self.begin = np.searchsorted(cell, np.arange(len(self.vocabulary) * BLOCKS + 1)).astype(np.int32)
+        np.maximum.at(self.best, (number[sort], self.items // self.wide), self.impacts.astype(np.float32))
+        self.most = self.best.max(axis=1)
         self.low = np.zeros(1 << 16, bool)
         self.low[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -113,21 +116,61 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
-    def candidates(self, passage: np.ndarray, number: np.ndarray, share: float):
+    def live(self, passage: np.ndarray, number: np.ndarray, share: float):
         """Of sorted, distinct (passage, term number) pairs: passages and blocks whose maxima sum to the share, and where each passage's terms begin."""
         cut = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
         bound = np.add.reduceat(self.best[number], cut, axis=0)
-        p, block = np.nonzero(bound >= share - 1e-4)
+        p, block = np.nonzero(bound >= share - SLACK)
         return p, block, np.append(cut, len(passage))
 
-    def score(self, query: np.ndarray, block: int) -> tuple[np.ndarray, int]:
-        """Scores of the items of a block, and the first one's number: the terms' cursors are moved to the block."""
-        cell = query * BLOCKS + block
-        at, stop = self.begin[cell], self.begin[cell + 1]
-        size = stop - at
-        own = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
-        first = block * self.wide
-        return np.bincount(self.items[own] - first, self.impacts[own], self.wide), first
+    def wand(self, query: np.ndarray, live: list[int], share: float):
+        """(item number, score) of the items at the share or more: block-max WAND over the lists of the query's terms.
+
+        Cursors are kept in the order of their items. The pivot is the first item that the lists up to its cursor can
+        lift to the share by their largest impacts. If the maxima of its block can't, or the block isn't ``live``, the
+        cursors skip to the next place that might; else they move up to the pivot, and are scored when all are there.
+        """
+        least, most = share - SLACK, self.most[query].tolist()
+        begin, end = self.first[query].tolist(), self.first[query + 1].tolist()
+        cursors: list[tuple[int, int, int]] = []
+
+        def put(t: int, place: int, to: int) -> None:
+            place += int(np.searchsorted(self.items[place : end[t]], to))
+            if place < end[t]:
+                cursors.append((int(self.items[place]), t, place))
+
+        for t, place in enumerate(begin):
+            put(t, place, live[0] * self.wide)
+        while cursors:
+            cursors.sort()
+            bound, k = 0.0, 0
+            while k < len(cursors) and (bound := bound + most[cursors[k][1]]) < least:
+                k += 1
+            if k == len(cursors):
+                return
+            pivot = cursors[k][0]
+            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
+                k += 1
+            moving, block = cursors[: k + 1], pivot // self.wide
+            if block not in live:
+                to = next((b for b in live if b > block), BLOCKS) * self.wide
+                moving = cursors[:]
+            elif self.best[query[[t for _, t, _ in moving]], block].sum() < least:
+                to = (block + 1) * self.wide
+                to = min(to, cursors[k + 1][0]) if k + 1 < len(cursors) else to
+            elif moving[0][0] < pivot:
+                to = pivot
+            else:
+                score = float(sum(self.impacts[place] for _, _, place in moving))
+                if score >= share:
+                    yield pivot, score
+                to = pivot + 1
+            cursors = cursors[len(moving) :]
+            for item, t, place in moving:
+                if item < to:
+                    put(t, place, to)
+                else:
+                    cursors.append((item, t, place))
 
 
 def passages(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,69 +196,80 @@ def search(index: Index, words: np.ndarray, bounds: np.ndarray, share: float = S
         return
     pairs = np.unique(np.repeat(np.arange(len(doc)), size) * len(index.vocabulary) + number[known[own]])
     passage, term = np.divmod(pairs, len(index.vocabulary))
-    p, block, cut = index.candidates(passage, term, share)
-    for k, b in zip(p.tolist(), block.tolist(), strict=True):
-        scores, first = index.score(term[cut[k] : cut[k + 1]], b)
-        for n in np.flatnonzero(scores >= share).tolist():
-            at = int(passage[cut[k]])
-            text = words[start[at] : stop[at]].tolist()
-            q, a = (overlap(x, text) for x in index.parts[first + n])
+    p, block, cut = index.live(passage, term, share)
+    for k, own in itertools.groupby(zip(p.tolist(), block.tolist(), strict=True), key=lambda x: x[0]):
+        at = int(passage[cut[k]])
+        text = words[start[at] : stop[at]].tolist()
+        for n, score in index.wand(term[cut[k] : cut[k + 1]], [b for _, b in own], share):
+            q, a = (overlap(x, text) for x in index.parts[n])
             if q >= verified and a >= verified:
-                yield int(doc[at]), first + n, float(scores[n]), q, a
+                yield int(doc[at]), n, score, q, a
 
 
-def statistics(items: DataFrame, text: str) -> tuple[dict[int, float], float, int]:
-    """Inverse document frequencies of the items' terms, their mean length, and the bytes of their texts."""
+def weighed(items: DataFrame) -> DataFrame:
+    """(row_key, term, impact): BM25 impacts of the terms of items (row_key, text), by statistics of all items."""
 
     def run(batches):
         for b in batches:
-            for i, j, data, offsets in texts_of(b.column(0)):
+            for i, _, data, offsets in texts_of(b.column(1)):
                 words, bounds = terms(data, offsets)
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))
-                one = np.unique(np.stack([words.view(np.int64), doc]), axis=1)[0] if len(words) else words.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.ones(len(one), np.int64)), pa.array(np.zeros(len(one), np.int64))], ["term", "n", "words"])
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int((np.diff(bounds) > 0).sum())]), pa.array([len(words)])], ["term", "n", "words"])
-
-    total = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
-    rows = items.select(text).mapInArrow(run, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
-    whole = next((r for r in rows if r["term"] is None), None)
-    count, words = (whole["n"], whole["words"]) if whole else (0, 0)
-    idf = {r["term"] & (1 << 64) - 1: float(np.log(1 + (count - r["n"] + 0.5) / (r["n"] + 0.5))) for r in rows if r["term"] is not None}
-    return idf, words / max(count, 1), total
+                size = np.diff(bounds)
+                doc = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((words, doc))
+                cut = group_starts(doc[order], words[order])
+                first = order[cut[:-1]] if len(order) else order
+                key = b.column(0).take(pa.array(i + doc[first]))
+                yield pa.RecordBatch.from_arrays([key, pa.array(words[first].view(np.int64)), pa.array(np.diff(cut)), pa.array(size[doc[first]])], ["row_key", "term", "n", "length"])
+
+    rows = materialize(items.select("row_key", "text").mapInArrow(run, "row_key long, term long, n long, length long"))
+    size = rows.agg(F.countDistinct("row_key").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    often = rows.groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    idf = F.log(1 + (size["items"] - F.col("often") + 0.5) / (F.col("often") + 0.5))
+    mean = size["words"] / max(size["items"], 1)
+    impact = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
+    return materialize(rows.join(often, "term").select("row_key", "term", impact.alias("impact")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, verified: float = VERIFIED, window: int = WINDOW) -> DataFrame:
-    """(id_col, item_id, score, question_overlap, answer_overlap): each document's best passage for each item it leaks."""
-    tune(docs.sparkSession)
-    idf, mean_length, size = statistics(items, item_text)
+    """(id_col, item_id, score, question_overlap, answer_overlap): each document's best passage for each item it leaks.
+
+    Where both ids have one name, the item's is given as item_<name>.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    named = item_id if item_id != id_col else f"item_{item_id}"
+    rows = keyed(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "item_id", "text").select("row_key", "item_id", "text")
+    impacts = weighed(rows)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-size // SHARD_BYTES))
-    slim, found = docs.select(id_col, text), None
-    kinds = (dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id])
-    ddl = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, score double, question_overlap double, answer_overlap double"
+    mine = lambda shard: F.pmod(F.xxhash64("row_key"), F.lit(shards)) == shard
+    slim, found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), None
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("item", LongType()), *(StructField(c, DoubleType()) for c in SCORES)])
     for shard in range(shards):
-        own = items.where(F.col(item_text).isNotNull() & (F.pmod(F.xxhash64(item_id, item_text), F.lit(shards)) == shard)).select(item_id, item_text).orderBy(item_id, item_text)
-        with_words = [(r[0], r[1]) for r in own.collect() if _of(r[1])]
-        if not with_words:
+        part = impacts.where(mine(shard)).toArrow()
+        if not part.num_rows:
             continue
-        index = Index(with_words, idf, mean_length)
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+        texts = {r["row_key"]: r["text"] for r in rows.where(mine(shard) & F.col("text").isNotNull()).select("row_key", "text").collect()}
+        sent = spark.sparkContext.broadcast(Index(texts, *(part.column(c).to_numpy().view(t) for c, t in (("row_key", np.int64), ("term", np.uint64), ("impact", np.float64)))))
 
         def run(batches, sent=sent):
             for b in batches:
-                index, rows = sent.value, []
+                index, out = sent.value, []
                 for i, _, data, offsets in texts_of(b.column(1)):
                     words, bounds = terms(data, offsets)
-                    rows += [(i + d, *x) for d, *x in search(index, words, bounds, share, verified, window)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array([index.ids[k] for k in cols[1]], b_type), *(pa.array(c, pa.float64()) for c in cols[2:])], [id_col, item_id, "score", "question_overlap", "answer_overlap"])
-
-        b_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
-        part = slim.mapInArrow(run, ddl)
-        found = part if found is None else found.union(part)
+                    out += [(i + d, index.ids[n], *x) for d, n, *x in search(index, words, bounds, share, verified, window)]
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], ["id", "item", *SCORES])
+
+        leaks = slim.mapInArrow(run, schema)
+        if shards > 1:  # one index at a time is held by the driver and the executors
+            leaks = materialize(leaks)
+            sent.destroy()
+        found = leaks if found is None else found.union(leaks)
     if found is None:
-        return docs.sparkSession.createDataFrame([], ddl)
-    best = found.groupBy(id_col, item_id).agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best"))
-    return best.select(id_col, item_id, F.round("best.score", 6).alias("score"), F.round("best.question_overlap", 6).alias("question_overlap"), F.round("best.answer_overlap", 6).alias("answer_overlap"))
+        found = spark.createDataFrame([], schema)
+    best = found.join(rows.select(F.col("row_key").alias("item"), "item_id"), "item").groupBy("id", "item_id").agg(F.max(F.struct(*SCORES)).alias("best"))
+    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(named), *[F.round(f"best.{c}", 6).alias(c) for c in SCORES])
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:

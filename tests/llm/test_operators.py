@@ -98,6 +98,8 @@ def test_substring_dedup(docs, rows, none, window):
     out = substring_dedup.remove_repeats(docs, window=window, gram=3)
     assert got(out, "doc_id", "n_words", "n_removed", "kept") == want
     assert set(docs.columns) <= set(out.columns)
+    odd = substring_dedup.remove_repeats(docs.withColumn("a-b", F.lit(1)).withColumn("c.d e", F.lit(2)), window=window, gram=3) if window == 5 else out
+    assert odd.count() == docs.count()
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
@@ -345,6 +347,48 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_retrieval_by_brute_force(spark):
+    """Block-max WAND retrieves what scoring every item for every passage does, with the same scores."""
+    rng = np.random.default_rng(12)
+    text = lambda n, v=300: " ".join("w" + str(int(i)) for i in v * rng.random(n) ** 3)
+    items = [(i, f"{text(int(rng.integers(3, 30)))}. {text(int(rng.integers(1, 9)))}.") for i in range(150)]
+    docs = [text(400) + " " + items[i][1] + " " + text(40) for i in range(0, 150, 2)]
+    weights = decontaminate.weighed(spark.createDataFrame(items, "row_key long, text string")).toPandas()
+    split = {i: t.replace(".", "").split() for i, t in items}
+    often, mean = Counter(w for x in split.values() for w in set(x)), sum(map(len, split.values())) / len(split)
+    idf = lambda w: math.log(1 + (len(items) - often[w] + 0.5) / (often[w] + 0.5))
+    impact = lambda i, w: idf(w) * split[i].count(w) * 2.2 / (split[i].count(w) + 1.2 * (0.25 + 0.75 * len(split[i]) / mean))
+    own = {i: sum(impact(i, w) for w in set(x)) for i, x in split.items()}
+    assert np.isclose(sorted(weights.impact), sorted(impact(i, w) for i, x in split.items() for w in set(x))).all()
+    index = decontaminate.Index(dict(items), weights.row_key.to_numpy(), weights.term.to_numpy().view(np.uint64), weights.impact.to_numpy())
+    want, found, tested = set(), set(), 0
+    for d, t in enumerate(docs):
+        w = t.replace(".", "").split()
+        for lo in range(0, max(1, len(w) - 128 + 64), 64):
+            passage = set(w[lo : lo + 128])
+            for i, x in split.items():
+                score = sum(impact(i, y) for y in set(x) if y in passage) / own[i]
+                tested += score >= 0.5
+                q, a = (decontaminate.overlap(p, decontaminate._of(" ".join(w[lo : lo + 128]))) for p in decontaminate.question_and_answer(items[i][1])) if score >= 0.5 else (0, 0)
+                if q >= 0.1 and a >= 0.1:
+                    want.add((d, i, round(score, 9)))
+        raw = np.frombuffer(t.encode(), np.uint8)
+        words_, bounds = decontaminate.terms(raw, np.array([0, len(raw)]))
+        found |= {(d, index.ids[n], round(score, 9)) for _, n, score, _, _ in decontaminate.search(index, words_, bounds, 0.5, 0.1, 128)}
+    assert len(want) >= 75 and tested > 2 * len(want) and found == want
+
+
+@pytest.mark.parametrize("kind", ["short", "decimal(9,0)", "date"])
+def test_ids_of_any_type(spark, kind):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    as_id = lambda c: F.date_add(F.lit("2020-01-01").cast("date"), c) if kind == "date" else F.col(c).cast(kind)
+    df = spark.createDataFrame([(k, text(k)) for k in range(4)], "n int, text string")
+    docs = df.select(as_id("n").alias("id"), "text", F.lit(1).alias("a-b"), F.lit(2).alias("score"))
+    out = decontaminate.contaminated(docs, docs.where("`a-b` = 1"), "id", "text", "id", "text")
+    assert out.columns[:2] == ["id", "item_id"] and out.where("id = item_id").count() == out.count() == 4
+    assert decontaminate.clean(docs, docs, "id", "text", item_id="id").count() == 0
+
+
 def test_rows_are_cleaned_by_their_own_text(spark):
     rng = np.random.default_rng(4)
     text = lambda n: " ".join("w" + str(i) for i in rng.integers(0, 5000, n))
@@ -380,10 +424,25 @@ def test_token_rollup(spark, sf_dir, tmp_path, docs, none):
     assert token_counts.corpus_rollup(none).count() == 0
     raw = token_counts.ranks("byte_bpe_50k")
     assert token_counts.encoding("byte_bpe_50k", raw).decode(token_counts.encoding("byte_bpe_50k", raw).encode_ordinary("naïve text")) == "naïve text"
+    counted = lambda name, t: len(token_counts.encoding(name, token_counts.ranks(name)).encode_ordinary(t or ""))
+    kept, want = set(), Counter()
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+        if (r.text or "") not in kept:
+            kept.add(r.text or "")
+            name = "byte_bpe_50k" if r.lang == "en" else "byte_bpe_multi_50k"
+            want[r.source, r.lang, name, "docs"] += 1
+            want[r.source, r.lang, name, "tokens"] += counted(name, r.text)
+    assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in out.collect()} == {k[:3]: (n, want[*k[:3], "tokens"]) for k, n in want.items() if k[3] == "docs"}
     ledger = token_counts.Rollup(spark, f"file://{tmp_path}/ledger")
     delta = spark.createDataFrame([("s", None, "t", 1, 5), ("s", None, "t", -1, -3), ("s", "en", "t", 1, 1)], "source string, lang string, tokenizer string, docs long, tokens long")
     assert ledger.commit("one", delta) and not ledger.commit("one", delta)
-    assert got(ledger.totals(), "source", "lang", "docs", "tokens") == Counter({("s", None, 0, 2): 1, ("s", "en", 1, 1): 1})
+    totals = Counter({("s", None, 0, 2): 1, ("s", "en", 1, 1): 1})
+    assert got(ledger.totals(), "source", "lang", "docs", "tokens") == totals
+    # a driver that is lost after it has created the commit file: nothing counts, and the batch can be sent again
+    (tmp_path / "ledger" / "commits" / b"two".hex()).touch()
+    assert got(ledger.totals(), "source", "lang", "docs", "tokens") == totals
+    assert ledger.commit("two", delta) and not ledger.commit("two", delta)
+    assert got(ledger.totals(), "source", "lang", "docs", "tokens") == Counter({("s", None, 0, 4): 1, ("s", "en", 2, 2): 1})
 
 
 def test_embeddings(spark):
