@@ -43,12 +43,12 @@ def mode_code(name: Column) -> Column:
 
 
 def over(d: dict[str, Column], s: dict[str, Column]) -> dict[str, Column]:
-    """Source-over in integers."""
+    """Source-over in integers; a channel that rounding lifts to 256 wraps to 0, as bytes do."""
     inv = F.lit(255) - s["a"]
     back = F.floor((d["a"] * inv + 127) / 255).cast("int")
     alpha = s["a"] + back
     safe = F.greatest(alpha, F.lit(1))
-    channel = lambda c: F.floor((s[c] * s["a"] + F.floor((d[c] * d["a"] * inv + 127) / 255) + F.floor(alpha / 2)) / safe).cast("int")
+    channel = lambda c: F.floor((s[c] * s["a"] + F.floor((d[c] * d["a"] * inv + 127) / 255) + F.floor(alpha / 2)) / safe).cast("int").bitwiseAND(F.lit(255))
     whole = (s["a"] == 255) | (d["a"] == 0)
     pick = lambda c, mixed: F.when(s["a"] == 0, d[c]).when(whole, s[c]).otherwise(mixed)
     return {c: pick(c, channel(c)) for c in "rgb"} | {"a": pick("a", alpha)}

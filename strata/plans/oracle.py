@@ -21,7 +21,7 @@ def over_sql(d: str, s: str) -> dict[str, str]:
     alpha = f"({s}a + {back})"
     out = {}
     for c in "rgb":
-        mixed = f"(({s}{c} * {s}a + ({d}{c} * {d}a * (255 - {s}a) + 127) // 255 + {alpha} // 2) // greatest({alpha}, 1))"
+        mixed = f"(({s}{c} * {s}a + ({d}{c} * {d}a * (255 - {s}a) + 127) // 255 + {alpha} // 2) // greatest({alpha}, 1) % 256)"
         out[c] = f"cast(case when {s}a = 0 then {d}{c} when {s}a = 255 or {d}a = 0 then {s}{c} else {mixed} end as int)"
     out["a"] = f"cast(case when {s}a = 0 then {d}a when {s}a = 255 or {d}a = 0 then {s}a else {alpha} end as int)"
     return out
