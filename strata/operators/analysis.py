@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators import grids
+
 
 def histogram(df: DataFrame, image: str = "image_id") -> DataFrame:
-    """(image, channel, value, n): counts of the values that occur, of all pixels."""
-    channels = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in "rgba"])
-    return df.select(image, F.inline(channels)).groupBy(image, "channel", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(image, channel, value, n): 256 counts a channel of all pixels, of values that don't occur too.
+
+    Counts come from partial aggregates; the 1024 places of an image are joined to them by one aggregate more.
+    """
+    channels = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("int").alias("value")) for c in "rgba"])
+    found = df.select(image, F.inline(channels)).groupBy(image, "channel", "value").agg(F.count(F.lit(1)).alias("n"))
+    places = F.array(*[F.struct(F.lit(c).alias("channel"), F.sequence(F.lit(0), F.lit(255)).alias("values")) for c in "rgba"])
+    zeros = df.select(image).distinct().select(image, F.inline(places)).select(image, "channel", F.explode("values").alias("value"), F.lit(0).cast("long").alias("n"))
+    return found.unionByName(zeros).groupBy(image, "channel", "value").agg(F.sum("n").alias("n"))
 
 
-def dominant(df: DataFrame, image: str = "image_id") -> DataFrame:
-    """(image, r, g, b): centre of the fullest of 32 bins a channel among visible pixels; ties go to the lowest bin."""
+def dominant(df: DataFrame, image: str = "image_id", max_samples: int | None = None) -> DataFrame:
+    """(image, r, g, b): centre of the fullest of 32 bins a channel among visible pixels; ties go to the lowest bin.
+
+    With ``max_samples`` (a feature: an estimate from about as many pixels) every n-th column of every n-th row of an
+    image counts, n being the root of its pixels by the samples. An image without visible pixels has no row.
+    """
+    if max_samples is not None:
+        size = df.groupBy(image).agg(((F.max("x") + 1) * (F.max("y") + 1)).alias("_n"))
+        step = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_n") / float(max(1, max_samples)))).cast("int"))
+        df = df.join(size, image).where((F.col("x") % step == 0) & (F.col("y") % step == 0)).drop("_n")
     bins = df.where("a > 0").select(image, (F.shiftright("r", 3) * 1024 + F.shiftright("g", 3) * 32 + F.shiftright("b", 3)).alias("bin"))
     best = bins.groupBy(image, "bin").agg(F.count(F.lit(1)).alias("n")).groupBy(image).agg(F.max(F.struct(F.col("n"), (-F.col("bin")).alias("m"))).alias("top")).withColumn("bin", -F.col("top.m"))
     part = lambda shift: (F.shiftright("bin", shift).bitwiseAND(F.lit(31)) * 8 + 4).cast("int")
@@ -41,7 +58,6 @@ def extract_palette(df: DataFrame, colors: int, image: str = "image_id") -> Data
     Each cut depends on the one before it, so an image is one group; pixels that are equal in colour are kept apart,
     since medians count them. An image without visible pixels gets one transparent colour.
     """
-    import numpy as np
     import pandas as pd
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,30 +103,39 @@ def _same(seed: str, tolerance: int):
     return cond
 
 
-def fill_all(df: DataFrame, x: int, y: int, color: tuple[int, int, int, int], tolerance: int, image: str = "image_id") -> DataFrame:
-    """Pixels within tolerance of the seed's colour, anywhere in the image, get the colour."""
+def _seeded(df: DataFrame, x: int, y: int, image: str, locked: bool) -> DataFrame:
+    """The pixels with their image's seed (_r, _g, _b, _a); with ``locked`` alpha clear seeds and pixels are out."""
     seed = df.where((F.col("x") == x) & (F.col("y") == y)).select(image, *[F.col(c).alias(f"_{c}") for c in "rgba"])
-    met = df.join(seed, image, "left")
+    return df.join(seed.where("_a > 0") if locked else seed, image, "left")
+
+
+def fill_all(df: DataFrame, x: int, y: int, color: tuple[int, int, int, int], tolerance: int, image: str = "image_id", locked: bool = False) -> DataFrame:
+    """Pixels within tolerance of the seed's colour, anywhere in the image, get the colour; a seed outside does nothing.
+
+    With ``locked`` alpha, clear pixels stay clear.
+    """
     hit = F.coalesce(_same("_", tolerance), F.lit(False))
-    return met.select(image, "x", "y", *[F.when(hit, v).otherwise(F.col(c)).alias(c) for c, v in zip("rgba", color, strict=True)])
+    if locked:
+        hit = hit & (F.col("a") > 0)
+    return _seeded(df, x, y, image, locked).select(image, "x", "y", *[F.when(hit, v).otherwise(F.col(c)).alias(c) for c, v in zip("rgba", color, strict=True)])
 
 
-def fill_region(df: DataFrame, x: int, y: int, color: tuple[int, int, int, int], tolerance: int, image: str = "image_id") -> DataFrame:
+def fill_region(df: DataFrame, x: int, y: int, color: tuple[int, int, int, int], tolerance: int, image: str = "image_id", locked: bool = False) -> DataFrame:
     """Pixels that can be reached from the seed through sides shared with pixels within tolerance of its colour.
 
-    Links between matching neighbours come from one self-join; their components are found in a logarithmic number of
-    rounds, so a long winding region needs no more rounds than a square one.
+    An image is one group, and its region is found by labels in a number of steps that grows with the logarithm of its
+    pixels, so a long winding region takes hardly more steps than a square one.
     """
-    from strata.operators.components import connected
 
-    seed = df.where((F.col("x") == x) & (F.col("y") == y)).select(image, *[F.col(c).alias(f"_{c}") for c in "rgba"])
-    like = df.join(seed, image).where(_same("_", tolerance)).select(image, "x", "y")
-    node = lambda i, a, b: F.concat_ws(",", F.col(i).cast("string"), a.cast("string"), b.cast("string"))
-    side = like.select(image, "x", "y", F.explode(F.array(F.struct((F.col("x") + 1).alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), (F.col("y") + 1).alias("y")))).alias("n"))
-    links = side.select(image, node(image, F.col("x"), F.col("y")).alias("a"), F.col("n.x").alias("x"), F.col("n.y").alias("y")).join(like, [image, "x", "y"]).select("a", node(image, F.col("x"), F.col("y")).alias("b"))
-    member = connected(links)
-    named = like.withColumn("node", node(image, F.col("x"), F.col("y"))).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    start = named.where((F.col("x") == x) & (F.col("y") == y)).select(image, F.col("component").alias("_start"))
-    hit = named.join(start, image).where("component = _start").select(image, "x", "y", F.lit(True).alias("_hit"))
-    met = df.join(hit, [image, "x", "y"], "left")
-    return met.select(image, "x", "y", *[F.when(F.col("_hit"), v).otherwise(F.col(c)).alias(c) for c, v in zip("rgba", color, strict=True)])
+    def change(pixels, there):
+        h, w, _ = pixels.shape
+        if not (0 <= x < w and 0 <= y < h and there[y, x]) or (locked and not pixels[y, x, 3]):
+            return pixels, there
+        near = (np.abs(pixels.astype(np.int16) - pixels[y, x].astype(np.int16)) <= tolerance).all(axis=2) & there
+        if locked:
+            near &= pixels[..., 3] > 0
+        out = pixels.copy()
+        out[grids.region(near, x, y)] = color
+        return out, there
+
+    return grids.per_image(df, change, image)

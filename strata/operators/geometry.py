@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.color import byte, lit
-from strata.operators.compose import pack, unpack
+from strata.operators import grids
 
 
 def flip(df: DataFrame, w: int, h: int, across_x: bool = False, across_y: bool = False) -> DataFrame:
@@ -110,35 +111,14 @@ def turned_size(w: int, h: int, degrees: float) -> tuple[int, int]:
 
 
 def rotate(df: DataFrame, w: int, h: int, degrees: float, image: str = "image_id") -> DataFrame:
-    """Turned clockwise about the centre with four-tap sampling; every pixel of the new box, clear where nothing lands.
+    """Turned clockwise about the centre with four-tap sampling; every pixel of the new box, clear where nothing lands."""
+    size = turned_size(w, h, degrees)
 
-    A pixel can be read by places near the one it is turned to, so it is sent to those, and a hash aggregate keeps one
-    packed pixel a tap; no join.
-    """
-    new_w, new_h = turned_size(w, h, degrees)
-    co, si = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    cells = df.select(image).distinct().select(image, F.explode(F.sequence(F.lit(0), F.lit(new_w * new_h - 1))).alias("p"))
-    grid = cells.select(image, (F.col("p") % new_w).cast("int").alias("x"), F.floor(F.col("p") / new_w).cast("int").alias("y"))
-
-    def source(x: Column, y: Column) -> tuple[Column, Column]:
-        rx, ry = x.cast("double") - new_w / 2, y.cast("double") - new_h / 2
-        return rx * co + ry * si + w / 2, rx * -si + ry * co + h / 2
-
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-3, 4) for j in range(-3, 4)])
-    px, py = F.col("x") - w / 2, F.col("y") - h / 2
-    sent = df.select(image, F.col("x").alias("_x"), F.col("y").alias("_y"), pack(*[F.col(c) for c in "rgba"]).alias("_p"), F.round(px * co - py * si + new_w / 2).cast("int").alias("_i"), F.round(px * si + py * co + new_h / 2).cast("int").alias("_j"), F.explode(near).alias("_n"))
-    sent = sent.withColumns({"x": F.col("_i") + F.col("_n.i"), "y": F.col("_j") + F.col("_n.j")}).where(F.col("x").between(0, new_w - 1) & F.col("y").between(0, new_h - 1))
-    fx, fy = source(F.col("x"), F.col("y"))
-    sent = sent.withColumns({"_fx": fx, "_fy": fy}).where(F.col("_fx").between(-0.5, w - 0.5) & F.col("_fy").between(-0.5, h - 0.5))
-    first = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v))).cast("int")
-    x0, y0 = first(F.col("_fx"), w), first(F.col("_fy"), h)
-    is_x, is_y = (F.col("_x") == x0, F.col("_x") == F.least(x0 + 1, F.lit(w - 1))), (F.col("_y") == y0, F.col("_y") == F.least(y0 + 1, F.lit(h - 1)))
-    met = sent.where((is_x[0] | is_x[1]) & (is_y[0] | is_y[1])).groupBy(image, "x", "y").agg(*[F.max(F.when(is_x[i] & is_y[j], F.col("_p"))).alias(f"_{i}{j}") for j in (0, 1) for i in (0, 1)])
-    fx, fy = source(F.col("x"), F.col("y"))
-    dx, dy = fx - F.floor(fx), fy - F.floor(fy)
-    taps = [(unpack(F.coalesce(F.col(f"_{i}{j}"), F.lit(0))), (dx if i else lit(1) - dx), (dy if j else lit(1) - dy)) for j in (0, 1) for i in (0, 1)]
-    total = lambda c: byte(F.round(sum((p[c].cast("double") * u * v for p, u, v in taps), lit(0)), 6))
-    return grid.join(met.select(image, "x", "y", *[total(c).alias(c) for c in "rgba"]), [image, "x", "y"], "left").select(image, "x", "y", *[F.coalesce(c, F.lit(0)).alias(c) for c in "rgba"])
+    def change(pixels, there):
+        out = grids.turned(pixels, degrees, size)
+        return out, np.ones(out.shape[:2], bool)
+
+    return grids.per_image(df, change, image, (w, h))
 
 
 def trim(df: DataFrame, image: str = "image_id") -> DataFrame:

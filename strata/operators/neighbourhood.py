@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.color import byte, lit
+from strata.functions.color import byte
+from strata.operators import grids
 
 _GAUSS5 = [1, 4, 6, 4, 1]
-#: Weights, row by row.
+#: Weights, row by row.
 KERNELS: dict[str, list[float]] = {
     "identity": [1.0],
     "box3": [1 / 9] * 9,
@@ -21,60 +22,32 @@ KERNELS: dict[str, list[float]] = {
 }
 
 
-def convolve(df: DataFrame, kernel: list[float], size: DataFrame | None = None, image: str = "image_id", shape: tuple[int, int] | None = None) -> DataFrame:
+def convolve(df: DataFrame, kernel: list[float], image: str = "image_id", shape: tuple[int, int] | None = None) -> DataFrame:
     """(image, x, y, r, g, b, a) convolved; products are added in the kernel's order, and the sum is truncated.
 
-    A pixel is sent to the places that read it (as often as edges repeat it), packed in one number, and a hash
-    aggregate by place keeps one number a weight: no join between pixels, and no row for a weight of zero. Edges come
-    from ``shape`` (width and height of every image), from ``size`` (image, _w, _h: largest coordinates) or else from
-    an aggregate by image.
+    ``shape`` is the width and height of every image; without it they come from the largest coordinates.
     """
-    side = int(len(kernel) ** 0.5)
-    half, middle = side // 2, len(kernel) // 2
-    if shape:
-        here = df.withColumns({"_w": F.lit(shape[0] - 1), "_h": F.lit(shape[1] - 1)})
-    else:
-        here = df.join(df.groupBy(image).agg(F.max("x").alias("_w"), F.max("y").alias("_h")) if size is None else size, image)
-    read = [i for i, w in enumerate(kernel) if w or i == middle]
-    steps = [(o, d) for o in range(-half, half + 1) for d in range(-half, half + 1)]
-    reach = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(d).alias("d")) for o, d in steps])
-    packed = (F.col("a").cast("long") * 256 + F.col("r")) * 65536 + F.col("g") * 256 + F.col("b")
-    sent = here.select(image, "x", "y", "_w", "_h", packed.alias("_p"))
-    for c, last in (("x", "_w"), ("y", "_h")):
-        # a place c + o reads this pixel at offset d if clamping to the edge leads here
-        place = F.col(c) + F.col("_t.o")
-        seen = F.greatest(F.lit(0), F.least(F.col(last), place + F.col("_t.d")))
-        sent = sent.withColumn("_t", F.explode(reach)).where(place.between(0, F.col(last)) & (seen == F.col(c))).withColumns({f"_{c}": place, f"_d{c}": F.col("_t.d") + half}).drop("_t")
-    tap = F.col("_dy") * side + F.col("_dx")
-    if len(read) < len(kernel):
-        sent = sent.where(tap.isin(read))
-    met = sent.groupBy(image, F.col("_x").alias("x"), F.col("_y").alias("y")).agg(*[F.max(F.when(tap == i, F.col("_p"))).alias(f"_{i}") for i in read])
-    part = lambda i, c: F.shiftright(F.coalesce(F.col(f"_{i}"), F.lit(0)), 8 * "bgra".index(c)).bitwiseAND(F.lit(255)).cast("int")
-
-    def total(c: str) -> Column:
-        out = lit(0)
-        for i in read:
-            out = out + part(i, c).cast("double") * lit(kernel[i])
-        return byte(out)
-
-    own = {c: part(middle, c) for c in "rgba"}
-    return met.where(F.col(f"_{middle}").isNotNull()).select(image, "x", "y", *[F.when(own["a"] == 0, own[c]).otherwise(total(c)).alias(c) for c in "rgb"], own["a"].alias("a"))
+    return grids.per_image(df, lambda pixels, there: (grids.convolved(pixels, kernel), there), image, shape)
 
 
 def box_blur(df: DataFrame, radius: int, image: str = "image_id", shape: tuple[int, int] | None = None) -> DataFrame:
     """Mean of the square around each pixel."""
     side = 2 * radius + 1
-    return convolve(df, [1 / side**2] * side**2, image=image, shape=shape) if radius > 0 else df
+    return convolve(df, [1 / side**2] * side**2, image, shape) if radius > 0 else df
 
 
 def gaussian_blur(df: DataFrame, radius: int, image: str = "image_id", shape: tuple[int, int] | None = None) -> DataFrame:
+    """A kernel of its own up to a radius of 2; beyond, as many passes of the smallest, truncated in between, in one group."""
     if radius <= 0:
         return df
-    if radius <= 2:
-        return convolve(df, KERNELS[f"gauss{2 * radius + 1}"], image=image, shape=shape)
-    for _ in range(radius):
-        df = convolve(df, KERNELS["gauss3"], image=image, shape=shape)
-    return df
+    kernel, passes = (KERNELS[f"gauss{2 * radius + 1}"], 1) if radius <= 2 else (KERNELS["gauss3"], radius)
+
+    def blurred(pixels, there):
+        for _ in range(passes):
+            pixels = grids.convolved(pixels, kernel)
+        return pixels, there
+
+    return grids.per_image(df, blurred, image, shape)
 
 
 def unsharp(df: DataFrame, strength: float, image: str = "image_id") -> DataFrame:

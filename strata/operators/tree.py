@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.sources.shared import checkpointed
+
 
 def numbered(layers: DataFrame, key: str = "key") -> DataFrame:
     """Add idx, the place among siblings."""
@@ -14,12 +16,13 @@ def numbered(layers: DataFrame, key: str = "key") -> DataFrame:
 
 
 def listed(layers: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every layer with its depth and pre-order path, one join a level; stops when a level is empty, or at max_depth where one is given."""
+    """Every layer with its depth and pre-order path, one join a level, of levels that are written; stops when a level is empty, or at max_depth where one is given."""
     level = layers.where("parent is null").withColumn("depth", F.lit(0)).withColumn("path", F.format_string("%06d", "idx"))
-    out, columns = level, level.columns
+    out = level = checkpointed(level)
     for d in itertools.count(1) if max_depth is None else range(1, max_depth):
         up = level.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
-        level = layers.join(up, F.col("parent") == F.col("_id")).withColumn("depth", F.lit(d)).withColumn("path", F.concat("_path", F.lit("/"), F.format_string("%06d", "idx"))).select(*columns)
+        level = layers.join(up, F.col("parent") == F.col("_id")).withColumn("depth", F.lit(d)).withColumn("path", F.concat("_path", F.lit("/"), F.format_string("%06d", "idx"))).select(*level.columns)
+        level = checkpointed(level)
         if level.isEmpty():
             break
         out = out.union(level)
@@ -30,16 +33,38 @@ def without(layers: DataFrame, root: str, max_depth: int | None = None) -> DataF
     """The tree without a layer and what is below it; idx closes up."""
     gone = listed(layers, max_depth)
     path = gone.where(F.col("id") == root).select(F.col("path").alias("_root"))
-    kept = gone.join(path, F.col("path").startswith(F.col("_root")), "left_anti") if not path.isEmpty() else gone
+    below = F.concat("path", F.lit("/")).startswith(F.concat("_root", F.lit("/")))
+    kept = gone.join(path, below, "left_anti") if not path.isEmpty() else gone
     return kept.withColumn("idx", (F.row_number().over(Window.partitionBy("parent").orderBy("idx")) - 1).cast("int")).drop("depth", "path")
 
 
-def moved(layers: DataFrame, layer: str, parent: str, index: int) -> DataFrame:
-    """The layer as a child of ``parent`` at ``index`` (clamped); siblings make room."""
-    order = F.when(F.col("id") == layer, F.lit(index * 2 - 1)).otherwise(F.col("rest") * 2)
-    placed = layers.withColumn("parent", F.when(F.col("id") == layer, F.lit(parent)).otherwise(F.col("parent")))
-    others = placed.withColumn("rest", F.row_number().over(Window.partitionBy("parent").orderBy((F.col("id") == layer).cast("int"), "idx")) - 1)
-    return others.withColumn("idx", (F.row_number().over(Window.partitionBy("parent").orderBy(order)) - 1).cast("int")).drop("rest")
+def moved(layers: DataFrame, layer: str, parent: str | None, index: int | None = None) -> DataFrame:
+    """The layer as a child of ``parent`` (None: on top) at ``index`` among what is there (None: at the end); siblings make room.
+
+    Within one parent the index counts the layer itself, so places behind it close up. Nothing changes where the layer
+    isn't there, or the parent isn't a group, is the layer or is below it.
+    """
+    own = layers.where(F.col("id") == layer).select("parent", "idx").first()
+    if own is None:
+        return layers
+    if parent is not None:
+        at, first = parent, True
+        while at is not None:
+            row = layers.where(F.col("id") == at).select("parent", "kind").first()
+            if row is None or at == layer or (first and row["kind"] != "group"):
+                return layers
+            at, first = row["parent"], False
+    mine = F.col("id") == layer
+    to = F.when(mine, F.lit(parent).cast("string")).otherwise(F.col("parent"))
+    met = layers.withColumns({"_mine": mine, "_to": to})
+    met = met.withColumns({"_rest": F.row_number().over(Window.partitionBy("_to", "_mine").orderBy("idx")) - 1, "_n": F.count(F.when(~F.col("_mine"), 1)).over(Window.partitionBy("_to"))})
+    if index is not None:
+        index -= own["parent"] == parent and index > own["idx"]
+    # where the layer goes: known from the siblings that it meets
+    place = F.col("_n") if index is None else F.least(F.col("_n"), F.lit(index))
+    room = F.col("_to").eqNullSafe(F.lit(parent).cast("string")) & (F.col("_rest") >= place)
+    idx = F.when(F.col("_mine"), place).otherwise(F.col("_rest") + F.coalesce(room, F.lit(False)).cast("int")).cast("int")
+    return met.withColumn("_idx", idx).select(*[{"parent": F.col("_to").alias("parent"), "idx": F.col("_idx").alias("idx")}.get(c, F.col(c)) for c in layers.columns])
 
 
 def patched(log: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
