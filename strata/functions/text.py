@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Side of a glyph before it is scaled.
 GLYPH = 8
+#: Characters of a typeface, which is a literal of the plan.
+MOST_GLYPHS = 1024
 
 
 def glyph_side(size: Column) -> Column:
@@ -50,6 +52,34 @@ def measured(lines: Column, width: int | None, size: int, spacing: int = 0, line
     return wide.cast("int"), (F.greatest(F.size(lines), F.lit(1)) - 1).cast("int") * max(line_height, side) + side
 
 
+def raster(texts: DataFrame, key: str, glyphs: DataFrame, size: int, line_height: int, spacing: int, color: tuple[int, int, int, int], align: str = "left", width: int | None = None) -> DataFrame:
+    """(key, x, y, r, g, b, a): the pixels that texts (key, lines) cover in a typeface of 8 by 8 bits.
+
+    ``glyphs`` (glyph, bits: eight rows, the lowest bit on the left) is the typeface, at most MOST_GLYPHS characters; a
+    character that isn't in it looks like ``?``. ``align`` is left, center or right in the box ``width`` or in the
+    longest line. Places that nothing covers have no row.
+    """
+    scale, side = -(-max(size, 1) // GLYPH), -(-max(size, 1) // GLYPH) * GLYPH
+    table = {r["glyph"]: list(r["bits"]) for r in glyphs.limit(MOST_GLYPHS + 1).collect()}
+    if len(table) > MOST_GLYPHS:
+        raise ValueError(f"a typeface has at most {MOST_GLYPHS} characters")
+    bits = F.create_map(*[x for g, b in sorted(table.items()) for x in (F.lit(g), F.array(*[F.lit(v) for v in b]))])
+    other = F.array(*[F.lit(v) for v in table.get("?", [0] * GLYPH)])
+    long = lambda n: n * side + F.greatest(n - 1, F.lit(0)) * spacing
+    box = F.greatest(F.lit(1), long(F.array_max(F.transform("lines", F.length)))) if width is None else F.lit(max(1, width))
+    line = texts.select(key, box.alias("_w"), F.posexplode("lines").alias("_n", "_line"))
+    room = F.greatest(F.lit(0), F.col("_w") - long(F.length("_line")))
+    start = {"left": F.lit(0), "center": F.floor(room / 2), "right": room}[align].cast("int")
+    char = line.select(key, "_w", "_n", start.alias("_x"), F.posexplode(F.split("_line", "")).alias("_k", "_c")).where("_c <> ''")
+    row = char.select(key, "_w", "_n", "_x", "_k", F.posexplode(F.coalesce(F.try_element_at(bits, F.col("_c")), other)).alias("_i", "_b"))
+    spot = row.select("*", F.explode(F.sequence(F.lit(0), F.lit(GLYPH - 1))).alias("_j")).where(F.expr("shiftright(_b, _j) & 1 = 1"))
+    steps = F.sequence(F.lit(0), F.lit(scale - 1))
+    spot = spot.withColumn("_sx", F.explode(steps)).withColumn("_sy", F.explode(steps))
+    x = F.col("_x") + F.col("_k") * (side + spacing) + F.col("_j") * scale + F.col("_sx")
+    y = F.col("_n") * max(line_height, side) + F.col("_i") * scale + F.col("_sy")
+    return spot.select(key, x.cast("int").alias("x"), y.cast("int").alias("y"), "_w", *[F.lit(v).alias(c) for c, v in zip("rgba", color, strict=True)]).where("x < _w").drop("_w")
+
+
 def family_key(name: Column) -> Column:
     """Letters and digits of a family's name, in lower case: what names are compared by at last."""
     return F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
@@ -61,10 +91,10 @@ def svg_fault(markup: Column) -> Column:
     tag = lambda names: rf"<(?:[\w.-]+:)?(?:{names})(?=[\s/>])"
     href = rf"(?s){tag('image')}[^>]*?\s(?:xlink:)?href\s*=\s*(?:\"\s*(?!data:)[^\"\s]|'\s*(?!data:)[^'\s])"
     return (
-        F.when(bare.isNull() | ~bare.rlike(r"(?s)^\s*(?:<\?.*?\?>\s*)?(?:<!DOCTYPE[^>]*>\s*)?<[A-Za-z_].*>\s*$"), "invalid markup")
-        .when(bare.rlike(tag("script")), "script elements")
-        .when(bare.rlike(tag(r"set|animate\w*")), "animation elements")
-        .when(bare.rlike(href), "external image references")
+        F.when(bare.isNull() | ~bare.rlike(r"(?s)^\s*(?:<\?.*?\?>\s*)?(?:<!DOCTYPE[^>]*>\s*)?<[A-Za-z_].*>\s*$"), "not well formed")
+        .when(bare.rlike(tag("script")), "holds scripts")
+        .when(bare.rlike(tag(r"set|animate\w*")), "holds animations")
+        .when(bare.rlike(href), "refers to images elsewhere")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import color
 from strata.functions.blend import MODES, mode_code
 from strata.operators import analysis, compose, filters, geometry, neighbourhood, shapes, sheets, strokes, tree
-from strata.plans import drawing
+from strata.plans import documents, drawing, wrappers
 from strata.plans import oracle as O
 from strata.sources import codecs
 from strata.sources.views import layers, pixels, plane, table
@@ -182,7 +182,7 @@ ORACLE_SQL: dict[str, str] = {
     "unsharp": f"with {_P}, m as (select p.image_id, p.x, p.y, " + ", ".join(f"sum(q.{c}) / count(*)::double m{c}" for c in "rgb") + " from px p join px q on q.image_id = p.image_id and abs(q.x - p.x) <= 1 and abs(q.y - p.y) <= 1 where q.a > 0 group by all) select image_id, x, y, " + ", ".join(f"case when a > 0 then {O.byte(f'{c} + ({c} - m{c}) * 0.6e0')} else {c} end {c}" for c in "rgb") + ", a from px left join m using (image_id, x, y)",
     "blit": f"with {_P}, t as (select image_id - 1 image_id, y + 1 x, 3 - x - 1 y, r, g, b, cast((a * 179 + 127) // 255 as int) a from px), m as (select p.*, coalesce(t.r, 0) sr, coalesce(t.g, 0) sg, coalesce(t.b, 0) sb, coalesce(t.a, 0) sa from px p left join t using (image_id, x, y)) select image_id, x, y, " + ", ".join(f"{v} {c}" for c, v in O.over_sql("", "s").items()) + " from m",
     "render_groups": O.groups_sql(),
-    "histogram": f"with {O.PLANE}, v as (select image_id, unnest(['r', 'g', 'b', 'a']) channel, unnest([r, g, b, a]) \"value\" from pl) select image_id, channel, \"value\", count(*) n from v group by all",
+    "histogram": f"with {O.PLANE}, v as (select image_id, unnest(['r', 'g', 'b', 'a']) channel, unnest([r, g, b, a]) \"value\", 1 k from pl union all select distinct image_id, channel, i::int, 0 from pl, (values ('r'), ('g'), ('b'), ('a')) c(channel), range(256) t(i)) select image_id, channel, \"value\", sum(k)::bigint n from v group by all",
     "dominant": f"with {O.PLANE}, c as (select image_id, (r >> 3) * 1024 + (g >> 3) * 32 + (b >> 3) bin, count(*) n from pl where a > 0 group by all), t as (select *, row_number() over (partition by image_id order by n desc, bin) k from c) select image_id, cast((bin >> 10) * 8 + 4 as int) r, cast(((bin >> 5) & 31) * 8 + 4 as int) g, cast((bin & 31) * 8 + 4 as int) b from t where k = 1",
     "palette_box": f"with {O.PLANE}, b as (select image_id, " + ", ".join(f"min({c}) min_{c}, max({c}) max_{c}, cast(sum({c}) // count(*) as int) avg_{c}" for c in "rgb") + " from pl where a > 0 group by image_id) select *, greatest(max_r - min_r, max_g - min_g, max_b - min_b) widest from b",
     "alpha_bounds": _px + "image_id, " + ", ".join(f"coalesce(min({c}) filter (a > 0), 0) {c}, coalesce(max({c}) filter (a > 0) - min({c}) filter (a > 0) + 1, 0) {n}" for c, n in (("x", "w"), ("y", "h"))) + " from px group by image_id",
@@ -214,5 +214,6 @@ select sheet, idx, x, y, w, h from p""",
     "detect_format": "select page_id, case page_id % 7 when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' when 3 then 'gif' when 4 then 'psd' else 'unknown' end format from pages",
     "png_round_trip": _px + "* from px",
 }
-QUERIES |= drawing.QUERIES
-ORACLE_SQL |= drawing.ORACLE_SQL
+for part in (drawing, documents, wrappers):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL

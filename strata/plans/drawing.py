@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import checks, text
+from strata.functions.fonts import Fonts
 from strata.operators import document, filters, geometry, neighbourhood, shapes, tree
 from strata.operators.document import Layer
 from strata.plans import oracle as O
@@ -76,6 +78,31 @@ def _tree_sql() -> str:
     return f"with {', '.join(ctes)} select doc_id, x, y, cr r, cg g, cb b, ca a from k7"
 
 
+def render_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image, a centred shape with a stroke, a mirrored image at half its alpha, and an SVG that could not be drawn."""
+    p = _parts(spark, sf_dir)
+    tree_ = (
+        Layer("image", p[0]),
+        Layer("shape", shape=document.Shape("rectangle", 3, 3, fill=(200, 10, 10, 255), stroke=(0, 0, 200, 128)), x=2, y=2, anchor="center"),
+        Layer("paint", p[1], size=(4, 4), flip_x=True, opacity=0.5),
+        Layer("svg"),
+    )
+    documents = pixels(spark, sf_dir).select(F.floor(F.col("image_id") / 5).alias("doc_id")).distinct()
+    return document.render(documents, tree_, 4, 4)
+
+
+def _kinds_sql() -> str:
+    ctes = [P, "st as (select image_id // 5 doc_id, image_id % 5 z, x, y, r, g, b, a from px)"]
+    cols = ", ".join(f"coalesce(l{z}.{c}, 0) l{z}{c}" for z in range(2) for c in "rgba")
+    ctes.append(f"k0 as (select d.doc_id, d.x, d.y, {cols}, {', '.join(f'0 c{c}' for c in 'rgbak')} from (select distinct doc_id, x, y from st) d left join st l0 on l0.doc_id = d.doc_id and l0.x = d.x and l0.y = d.y and l0.z = 0 left join st l1 on l1.doc_id = d.doc_id and l1.x = 3 - d.x and l1.y = d.y and l1.z = 1)")
+    keep = ", ".join(f"l{z}{c}" for z in range(2) for c in "rgba")
+    shape = lambda fill, stroke: f"case when x = 2 and y = 2 then {fill} when x between 1 and 3 and y between 1 and 3 then {stroke} else 0 end"
+    _step(ctes, "k1", "k0", "c", {c: f"l0{c}" for c in "rgba"}, "normal", keep)
+    _step(ctes, "k2", "k1", "c", {c: shape(f, t) for c, f, t in zip("rgba", (200, 10, 10, 255), (0, 0, 200, 128), strict=True)}, "normal", keep)
+    _step(ctes, "k3", "k2", "c", {c: f"l1{c}" for c in "rgb"} | {"a": "cast((l1a * 128 + 127) // 255 as int)"}, "normal", keep)
+    return f"with {', '.join(ctes)} select doc_id, x, y, cr r, cg g, cb b, ca a from k3"
+
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("shape"), (F.col("p_partkey") % 24 + 3).cast("int").alias("w"), (F.col("p_size") % 17 + 2).cast("int").alias("h"))
 
@@ -143,8 +170,46 @@ def _on_tree(f):
     return lambda s, d: f(tree.numbered(layers(s, d)).select("id", "parent", "kind", "idx"))
 
 
+#: A made-up typeface: the bits of a character's eight rows follow from its code.
+def _glyphs(spark: SparkSession) -> DataFrame:
+    code = F.col("id")
+    return spark.range(32, 127).where("id % 7 <> 0 or id = 63").select(F.char(code).alias("glyph"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((code * 7 + i * 13) % 256).cast("int")).alias("bits"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("label"), F.array(F.concat(F.lit("No "), F.col("n_nationkey").cast("string")), F.lit("q?z")).alias("lines"))
+
+
+_TEXT_SQL = """with t as (select n_nationkey label, ['No ' || n_nationkey, 'q?z'] l from nation), w as (select label, unnest(l) line, generate_subscripts(l, 1) - 1 n from t),
+c as (select label, n, unnest(string_split(line, '')) ch, unnest(range(len(line))) k, len(line) size from w),
+m as (select label, max(len(line)) * 16 + (max(len(line)) - 1) * 2 width from w group by label),
+g as (select label, n, k, size, case when ascii(ch) % 7 <> 0 or ch = '?' then ascii(ch) else 63 end code from c),
+b as (select g.*, width, i, j from g join m using (label), range(8) r(i), range(8) s(j) where ((code * 7 + i * 13) % 256) >> j & 1 = 1)
+select label, ((width - (size * 16 + (size - 1) * 2)) // 2 + k * 18 + j * 2 + sx)::int x, (n * 20 + i * 2 + sy)::int y, 9 r, 8 g, 7 b, 255 a from b, range(2) t(sx), range(2) u(sy)"""
+
+
+def _fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fonts = Fonts()
+    fonts.register(["Some Sans", "Some Sans Light"], "body")
+    fonts.register(["Other-Serif"])
+    n = table(spark, sf_dir, "nation")
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("BODY", "some sans light", "otherserif", "nothing", "Other Serif")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return n.select("n_nationkey", fonts.resolve(asked).alias("family"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = ((F.col("c_custkey") % 601 - 200) / 2.0).cast("double")
+    v = F.when(F.col("c_custkey") % 50 == 0, F.lit(float("nan"))).otherwise(v)
+    return table(spark, sf_dir, "customer").select("c_custkey", *[checks.fault(rule, v).alias(rule) for rule in checks.RULES])
+
+
 QUERIES: dict = {
+    "text_pixels": lambda s, d: text.raster(_labels(s, d), "label", _glyphs(s), 12, 20, 2, (9, 8, 7, 255), "center"),
+    "font_families": _fonts,
+    "validators": _checked,
     "render_tree": render_tree,
+    "render_kinds": render_kinds,
     "box_blur2": lambda s, d: neighbourhood.box_blur(pixels(s, d), 2, shape=(4, 4)),
     "resize_lanczos": lambda s, d: geometry.resize_lanczos(pixels(s, d), 4, 4, 6, 3),
     "rotate_free": lambda s, d: geometry.rotate(pixels(s, d), 4, 4, TURN),
@@ -161,7 +226,11 @@ QUERIES: dict = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "text_pixels": _TEXT_SQL,
+    "font_families": "select n_nationkey, ['Some Sans', 'Some Sans Light', 'Other-Serif', null, 'Other-Serif'][n_nationkey % 5 + 1] family from nation",
+    "validators": "with v as (select c_custkey, (c_custkey % 601 - 200) / 2e0 v, c_custkey % 50 = 0 bad from customer) select c_custkey, case when bad then 'not finite' end finite, case when bad then 'not finite' when trunc(v) < 0 then 'below 0' end non_negative, case when bad then 'not finite' when v <= 0 then 'not above 0' end positive, case when bad then 'not finite' when trunc(v) <= 0 then 'not above 0' end positive_integer, case when bad then 'not finite' when v < 0 or v > 1 then 'not in 0 to 1' end \"unit\", case when bad then 'not finite' when trunc(v) < 0 or trunc(v) > 255 then 'not a byte' end byte from v",
     "render_tree": _tree_sql(),
+    "render_kinds": _kinds_sql(),
     "box_blur2": O.convolve_sql([1 / 25] * 25),
     "resize_lanczos": _lanczos_sql(6, 3),
     "rotate_free": _rotate_sql(),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,72 +30,141 @@ def detect_format(content: Column) -> Column:
     )
 
 
-def encode_png(width: int, height: int, rgba: bytes) -> bytes:
+def _predicted(kind: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What each line filter expects of a byte from those to the left, above, and above to the left."""
+    d = a + b - c
+    da, db, dc = abs(d - a), abs(d - b), abs(d - c)
+    near = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+    return np.select([kind == 1, kind == 2, kind == 3, kind == 4], [a, b, (a + b) // 2, near], 0)
+
+
+def encode_png(width: int, height: int, rgba: bytes, kinds: Sequence[int] = (0,)) -> bytes:
+    """An RGBA file; ``kinds`` are the line filters to use, in turn."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    lines = b"".join(b"\0" + rgba[y * width * 4 : (y + 1) * width * 4] for y in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    wide = np.zeros((height + 1, width + 1, 4), np.int16)
+    wide[1:, 1:] = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)
+    kind = np.resize(np.array(kinds, np.uint8), height)
+    lines = (wide[1:, 1:] - _predicted(kind[:, None, None], wide[1:, :-1], wide[:-1, 1:], wide[:-1, :-1])).astype(np.uint8)
+    packed = np.concatenate([kind[:, None], lines.reshape(height, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(packed)) + chunk(b"IEND", b"")
+
+
+def _unfiltered(kind: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Pixels of filtered lines (h, w, channels). Along a diagonal no pixel needs another one, so each is one step."""
+    h, w, n = lines.shape
+    if not kind.any():
+        return lines
+    out = np.zeros((h + 1, w + 1, n), np.int16)
+    for d in range(h + w - 1 if h and w else 0):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        expected = _predicted(kind[y, None], out[y + 1, x], out[y, x + 1], out[y, x])
+        out[y + 1, x + 1] = (lines[y, x] + expected) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def decode_png(raw: bytes) -> tuple[int, int, bytes]:
     """(width, height, RGBA) of an 8-bit PNG that is not indexed or interlaced; anything else is a ValueError."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, packed, head = 8, b"", None
+    at, packed, head = 8, [], None
     while at + 8 <= len(raw):
         (n,), kind = struct.unpack(">I", raw[at : at + 4]), raw[at + 4 : at + 8]
         data = raw[at + 8 : at + 8 + n]
-        head, packed = (struct.unpack(">IIBBBBB", data), packed) if kind == b"IHDR" else (head, packed + data if kind == b"IDAT" else packed)
+        if kind == b"IHDR":
+            if len(data) != 13:
+                raise ValueError("bad header")
+            head = struct.unpack(">IIBBBBB", data)
+        elif kind == b"IDAT":
+            packed.append(data)
         at += 12 + n
     if head is None or head[2] != 8 or head[3] not in _CHANNELS or head[6]:
         raise ValueError("unsupported PNG")
     w, h, n = head[0], head[1], _CHANNELS[head[3]]
     if w * h * 4 > MAX_BYTES:
         raise ValueError("image too large")
-    flat, stride, above, out = zlib.decompress(packed), w * n, bytearray(w * n), bytearray()
-    for y in range(h):
-        kind, line = flat[y * (stride + 1)], bytearray(flat[y * (stride + 1) + 1 : (y + 1) * (stride + 1)])
-        for i in range(stride if kind else 0):
-            a, b, c = (line[i - n] if i >= n else 0), above[i], (above[i - n] if i >= n else 0)
-            if kind == 4:
-                d = a + b - c
-                near = min((abs(d - a), 0, a), (abs(d - b), 1, b), (abs(d - c), 2, c))[2]
-            else:
-                near = (0, a, b, (a + b) // 2)[kind]
-            line[i] = (line[i] + near) & 255
-        out += line
-        above = line
-    px = [out[i::n] for i in range(n)]
-    r, g, b = (px[0], px[1], px[2]) if n > 2 else (px[0],) * 3
-    rgba = bytearray(w * h * 4)
-    rgba[0::4], rgba[1::4], rgba[2::4] = r, g, b
-    rgba[3::4] = px[n - 1] if n in (2, 4) else b"\xff" * (w * h)
-    return w, h, bytes(rgba)
-
-
-def to_png(buffers: DataFrame) -> DataFrame:
+    # no more is unpacked than the size asks for
+    flat = zlib.decompressobj().decompress(b"".join(packed), h * (w * n + 1)) if w and h else b""
+    if not w or not h or len(flat) < h * (w * n + 1):
+        raise ValueError("too few pixels")
+    lines = np.frombuffer(flat, np.uint8).reshape(h, w * n + 1)
+    if lines[:, 0].max() > 4:
+        raise ValueError("unknown line filter")
+    px = _unfiltered(lines[:, 0], lines[:, 1:].reshape(h, w, n))
+    rgba = np.full((h, w, 4), 255, np.uint8)
+    rgba[..., :3] = px[..., :3] if n > 2 else px[..., :1]
+    if n in (2, 4):
+        rgba[..., 3] = px[..., -1]
+    return w, h, rgba.tobytes()
+
+
+def to_png(buffers: DataFrame, kinds: Sequence[int] = (0,)) -> DataFrame:
     """(image_id, png) of buffers (image_id, width, height, data)."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"image_id": pdf["image_id"], "png": [encode_png(w, h, d) for w, h, d in zip(pdf["width"], pdf["height"], pdf["data"], strict=True)]})
+            yield pd.DataFrame({"image_id": pdf["image_id"], "png": [encode_png(w, h, d, kinds) for w, h, d in zip(pdf["width"], pdf["height"], pdf["data"], strict=True)]})
 
     return buffers.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, png binary")
 
 
-def from_png(files: DataFrame) -> DataFrame:
-    """(image_id, width, height, data, error): a file that can't be decoded has an error and no data."""
+def _files(files: DataFrame, content: str, decode: Callable[[bytes], tuple[int, int, bytes]]) -> DataFrame:
+    """(image_id, width, height, data, error): whatever is wrong with a file is that file's error."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, raw in zip(pdf["image_id"], pdf["png"], strict=True):
+            for i, raw in zip(pdf["image_id"], pdf[content], strict=True):
                 try:
-                    rows.append((i, *decode_png(raw), None))
-                except (ValueError, IndexError, zlib.error) as e:
-                    rows.append((i, None, None, None, str(e)))
+                    rows.append((i, *decode(raw or b""), None))
+                except Exception as e:  # a file can be wrong in any way, and must not stop the others
+                    rows.append((i, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["image_id", "width", "height", "data", "error"])
 
-    return files.select("image_id", "png").mapInPandas(run, "image_id long, width int, height int, data binary, error string")
+    return files.select("image_id", content).mapInPandas(run, "image_id long, width int, height int, data binary, error string")
+
+
+def from_png(files: DataFrame) -> DataFrame:
+    """(image_id, width, height, data, error): a file that can't be decoded, or is null, has an error and no data."""
+    return _files(files, "png", decode_png)
+
+
+def decode(raw: bytes) -> tuple[int, int, bytes]:
+    """(width, height, RGBA) of a file of any known format: the first frame of a GIF, the first layer of a PSD (or its empty canvas)."""
+    from strata.sources import gif, jpeg, psd
+
+    if raw[:4] == b"\x89PNG" and len(raw) >= 8:
+        return decode_png(raw)
+    if raw[:3] == b"\xff\xd8\xff":
+        return jpeg.decode_jpeg(raw)
+    if raw[:4] == b"GIF8":
+        frames = gif.decode_gif(raw)
+        if not frames:
+            raise ValueError("no frames")
+        return frames[0][0], frames[0][1], frames[0][3]
+    if raw[:4] == b"8BPS":
+        w, h, layers = psd.decode_psd(raw)
+        return (layers[0]["width"], layers[0]["height"], layers[0]["data"]) if layers else (w, h, bytes(w * h * 4))
+    if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+        raise ValueError("no decoder for WebP here")
+    raise ValueError("unknown format")
+
+
+def from_files(files: DataFrame, content: str = "content") -> DataFrame:
+    """(image_id, width, height, data, error) of files (image_id, content) of any known format."""
+    return _files(files, content, decode)
+
+
+def to_flat(buffers: DataFrame) -> DataFrame:
+    """(image_id, flat): width and height in four bytes each, the larger ones first, and the pixels."""
+    size = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    return buffers.select("image_id", F.concat(size("width"), size("height"), "data").alias("flat"))
+
+
+def from_flat(flat: DataFrame) -> DataFrame:
+    """(image_id, width, height, data) of what ``to_flat`` gives."""
+    size = lambda at: F.conv(F.hex(F.substring("flat", at, 4)), 16, 10).cast("int")
+    return flat.select("image_id", size(1).alias("width"), size(5).alias("height"), F.substr(F.col("flat"), F.lit(9)).alias("data"))
 
 
 def to_buffers(pixels: DataFrame) -> DataFrame:
