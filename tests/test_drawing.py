@@ -98,7 +98,7 @@ def test_text(spark):
     assert len(row.l) == 3 and (row.w, row.h) == (13 * 16 + 12, 48)
     marks = ["<svg><rect/></svg>", "<svg><script>x</script></svg>", "<svg><animateMotion/></svg>", '<svg><image href="http://a"/></svg>', '<svg><image href="data:x"/></svg>', "no", "<svg><settings/></svg>"]
     got = [r.f for r in spark.createDataFrame(list(enumerate(marks)), "i int, m string").orderBy("i").select(text.svg_fault(F.col("m")).alias("f")).collect()]
-    assert got == [None, "script elements", "animation elements", "external image references", None, "invalid markup", None]
+    assert got == [None, "holds scripts", "holds animations", "refers to images elsewhere", None, "not well formed", None]
     css = "@font-face { font-family: 'Some Sans'; font-weight: 700; src: url(https://x/y.woff2) format('woff2'); }"
     face = spark.createDataFrame([(css,)], "c string").select(F.explode(text.font_faces(F.col("c")))).first()[0]
     assert tuple(face) == ("Some Sans", "700", "normal", "https://x/y.woff2")
