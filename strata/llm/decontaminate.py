@@ -83,7 +83,7 @@ def overlap(part: list[int], passage: list[int], run: int = 3) -> float:
 
 
 class Index:
-    """Inverted file of items: posting lists in item order, with the largest impact of a list and of each of its blocks.
+    """Inverted file of items: posting lists in item order, cut into blocks, with the largest impact of each block.
 
     Impacts are shares of an item's own score. ``item``, ``term`` and ``impact`` are rows, ``texts`` maps items to texts.
     """
@@ -99,11 +99,12 @@ class Index:
         self.vocabulary, number = np.unique(term, return_inverse=True)
         place = np.argsort(order)[at]
         sort = np.lexsort((place, number))
-        self.items, self.impacts = place[sort], (impact / total[at])[sort]
-        self.first = np.searchsorted(number[sort], np.arange(len(self.vocabulary) + 1))
+        items, impacts, number = place[sort], (impact / total[at])[sort], number[sort]
         self.best = np.zeros((len(self.vocabulary), BLOCKS), np.float32)
-        np.maximum.at(self.best, (number[sort], self.items // self.wide), self.impacts.astype(np.float32))
-        self.most = self.best.max(axis=1)
+        np.maximum.at(self.best, (number, items // self.wide), impacts.astype(np.float32))
+        # where the postings of a term in a block begin
+        self.begin = np.searchsorted(number * BLOCKS + items // self.wide, np.arange(len(self.vocabulary) * BLOCKS + 1)).astype(np.int32)
+        self.items, self.impacts = items.tolist(), impacts.tolist()
         self.low = np.zeros(1 << 16, bool)
         self.low[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -126,51 +127,41 @@ class Index:
     def wand(self, query: np.ndarray, live: list[int], share: float):
         """(item number, score) of the items at the share or more: block-max WAND over the lists of the query's terms.
 
-        Cursors are kept in the order of their items. The pivot is the first item that the lists up to its cursor can
-        lift to the share by their largest impacts. If the maxima of its block can't, or the block isn't ``live``, the
-        cursors skip to the next place that might; else they move up to the pivot, and are scored when all are there.
+        Blocks are aligned, so in one block the lists' upper bounds are their maxima of that block, and blocks that
+        aren't ``live`` are skipped whole. Cursors of the terms with postings in the block are kept in the order of
+        their items. The pivot is the first item that the lists up to its cursor can lift to the share; without one
+        the rest of the block is skipped. Cursors before the pivot move up to it; it is scored when all are there.
         """
-        least, most = share - SLACK, self.most[query].tolist()
-        begin, end = self.first[query].tolist(), self.first[query + 1].tolist()
-        cursors: list[tuple[int, int, int]] = []
-
-        def put(t: int, place: int, to: int) -> None:
-            place += int(np.searchsorted(self.items[place : end[t]], to))
-            if place < end[t]:
-                cursors.append((int(self.items[place]), t, place))
-
-        for t, place in enumerate(begin):
-            put(t, place, live[0] * self.wide)
-        while cursors:
-            cursors.sort()
-            bound, k = 0.0, 0
-            while k < len(cursors) and (bound := bound + most[cursors[k][1]]) < least:
-                k += 1
-            if k == len(cursors):
-                return
-            pivot = cursors[k][0]
-            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
-                k += 1
-            moving, block = cursors[: k + 1], pivot // self.wide
-            if block not in live:
-                to = next((b for b in live if b > block), BLOCKS) * self.wide
-                moving = cursors[:]
-            elif self.best[query[[t for _, t, _ in moving]], block].sum() < least:
-                to = (block + 1) * self.wide
-                to = min(to, cursors[k + 1][0]) if k + 1 < len(cursors) else to
-            elif moving[0][0] < pivot:
+        least = share - SLACK
+        for block in live:
+            cell = query * BLOCKS + block
+            begin, end = self.begin[cell], self.begin[cell + 1]
+            has = np.flatnonzero(end > begin)
+            most = self.best[query[has], block].tolist()
+            cursors = [(self.items[lo], m, lo, hi) for m, lo, hi in zip(most, begin[has].tolist(), end[has].tolist(), strict=True)]
+            while cursors:
+                cursors.sort()
+                bound, pivot = 0.0, -1
+                for item, m, _, _ in cursors:
+                    bound += m
+                    if bound >= least:
+                        pivot = item
+                        break
+                if pivot < 0:
+                    break
                 to = pivot
-            else:
-                score = float(sum(self.impacts[place] for _, _, place in moving))
-                if score >= share:
-                    yield pivot, score
-                to = pivot + 1
-            cursors = cursors[len(moving) :]
-            for item, t, place in moving:
-                if item < to:
-                    put(t, place, to)
-                else:
-                    cursors.append((item, t, place))
+                if cursors[0][0] == pivot:
+                    score = sum(self.impacts[at] for item, _, at, _ in cursors if item == pivot)
+                    if score >= share:
+                        yield pivot, score
+                    to = pivot + 1
+                moved = []
+                for item, m, at, stop in cursors:
+                    while at < stop and self.items[at] < to:
+                        at += 1
+                    if at < stop:
+                        moved.append((self.items[at], m, at, stop))
+                cursors = moved
 
 
 def passages(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
