@@ -128,6 +128,7 @@ def from_psd(files: DataFrame, content: str = "psd") -> DataFrame:
                     rows += [{"image_id": i, "layer": n} | x for n, x in enumerate(decode_psd(raw or b"")[2])]
                 except Exception as e:  # a file can be wrong in any way, and must not stop the others
                     rows.append({"image_id": i, "error": str(e) or type(e).__name__})
-            yield pd.DataFrame(rows, columns=names)
+            # integers with nulls in plain columns: a nullable frame would come as chunks
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
     return files.select("image_id", content).mapInPandas(run, SCHEMA)
