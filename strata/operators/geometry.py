@@ -52,23 +52,35 @@ def pixel_scale(df: DataFrame, factor: int) -> DataFrame:
     return out.withColumns({"x": F.col("x") * max(1, factor) + F.col("_x"), "y": F.col("y") * max(1, factor) + F.col("_y")}).drop("_x", "_y")
 
 
-def _taps(at: Column, old: int, new: int) -> Column:
-    """(new coordinate, weight) pairs that bilinear sampling takes from an old coordinate."""
-    takers: list[dict[int, float]] = [{} for _ in range(old)]
-    for i in range(new):
-        c = min(max((i + 0.5) * old / new - 0.5, 0.0), old - 1.0)
-        lo = int(c)
-        for k, wt in ((lo, 1 - (c - lo)), (min(lo + 1, old - 1), c - lo)):
-            takers[k][i] = takers[k].get(i, 0.0) + wt
-    return F.element_at(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("w")) for i, v in t.items()]) for t in takers]), at + 1)
+def _resampled(df: DataFrame, w: int, h: int, weights: list[np.ndarray | None], between: bool, image: str) -> DataFrame:
+    """Every image through matrices of weights (new by old) of its columns and rows; truncated to bytes, in ``between`` too where asked for."""
+    across, down = weights
+    size = (h if down is None else len(down), w if across is None else len(across))
+
+    def change(pixels, there):
+        out = pixels.astype(np.float64)
+        for k, m in enumerate((across, down)):
+            if m is not None:
+                out = np.einsum("nw,hwc->hnc" if not k else "nh,hwc->nwc", m, out, optimize=True)
+                if between or k:
+                    out = np.clip(np.floor(np.round(out, 6)), 0, 255)
+        return np.clip(np.floor(np.round(out, 6)), 0, 255).astype(np.uint8), np.ones(size, bool)
+
+    return grids.per_image(df, change, image, (w, h))
+
+
+def bilinear_weights(old: int, new: int) -> np.ndarray:
+    at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0.0, old - 1.0)
+    low = at.astype(np.int64)
+    out = np.zeros((new, old))
+    np.add.at(out, (np.arange(new), low), 1 - (at - low))
+    np.add.at(out, (np.arange(new), np.minimum(low + 1, old - 1)), at - low)
+    return out
 
 
 def resize_bilinear(df: DataFrame, w: int, h: int, new_w: int, new_h: int, image: str = "image_id") -> DataFrame:
-    """Four-tap interpolation of every channel: pixels are sent to the places that read them and summed with partial aggregates."""
-    sent = df.withColumn("_x", F.explode(_taps(F.col("x"), w, new_w))).withColumn("_y", F.explode(_taps(F.col("y"), h, new_h)))
-    weight = F.col("_x.w") * F.col("_y.w")
-    summed = sent.groupBy(image, F.col("_x.i").alias("x"), F.col("_y.i").alias("y")).agg(*[F.sum(F.col(c) * weight).alias(c) for c in "rgba"])
-    return summed.select(image, "x", "y", *[byte(F.round(c, 6)).alias(c) for c in "rgba"])
+    """Four-tap interpolation of every channel."""
+    return _resampled(df, w, h, [bilinear_weights(w, new_w), bilinear_weights(h, new_h)], False, image)
 
 
 def _lanczos(x: float) -> float:
@@ -91,16 +103,18 @@ def lanczos_weights(old: int, new: int) -> list[dict[int, float]]:
 
 
 def resize_lanczos(df: DataFrame, w: int, h: int, new_w: int, new_h: int, image: str = "image_id") -> DataFrame:
-    """Rows, then columns, truncated to bytes in between; pixels are sent to the places that read them."""
-    for c, old, new in (("x", w, new_w), ("y", h, new_h)):
+    """Rows, then columns, truncated to bytes in between; a length that stays is not resampled."""
+
+    def matrix(old: int, new: int) -> np.ndarray | None:
         if old == new:
-            continue
-        table = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("w")) for i, v in t.items()]).cast("array<struct<i:int,w:double>>") for t in lanczos_weights(old, new)])
-        sent = df.withColumn("_t", F.explode(F.element_at(table, F.col(c) + 1)))
-        place = {"x": F.col("x"), "y": F.col("y")} | {c: F.col("_t.i")}
-        summed = sent.groupBy(image, *[v.alias(k) for k, v in place.items()]).agg(*[F.sum(F.col(v) * F.col("_t.w")).alias(v) for v in "rgba"])
-        df = summed.select(image, "x", "y", *[byte(F.round(v, 6)).alias(v) for v in "rgba"])
-    return df.select(image, "x", "y", *"rgba")
+            return None
+        out = np.zeros((new, old))
+        for k, takers in enumerate(lanczos_weights(old, new)):
+            for i, v in takers.items():
+                out[i, k] = v
+        return out
+
+    return _resampled(df, w, h, [matrix(w, new_w), matrix(h, new_h)], True, image)
 
 
 def turned_size(w: int, h: int, degrees: float) -> tuple[int, int]:
