@@ -8,7 +8,9 @@ Fitting uses a bounded sample: at most PER_LANGUAGE labelled rows of each langua
 with the smallest hashes, so the same table gives the same network however it is partitioned.
 
 Nulls: a null text, an empty one or one without a letter is ``und`` with score 0, and so is every text when nothing
-labelled is there to learn from. A tie goes to the first language in code point order.
+labelled is there to learn from. A tie goes to the first language in code point order. Repeated rows are predicted
+alike. An empty table gives an empty result. Columns named lang_pred or score are replaced, any other name may occur.
+A text of any length is read whole, WIDE windows at a time.
 """
 
 from __future__ import annotations

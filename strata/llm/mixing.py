@@ -12,7 +12,9 @@ come from prefix sums in two levels, so a source with a third of all rows is man
 by hint, and randomness is a hash of (seed, source, shard, draw): reruns agree.
 
 Nulls: a null text has size 0; null is a source of its own, after all others; a null id is a row like any other, and
-so is each of repeated ids. Documents of size 0 take 0.
+so is each of repeated ids. Documents of size 0 take 0. Ties: rows of equal id and size are alike, so which of them
+comes first doesn't matter to the result. An empty table gives an empty result. A long text is as many blocks as it
+needs. Only the id, the text and the source are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@
 
 Cosines are taken in double precision from the components as stored. Nulls: a vector that is null, empty, zero or
 holds a null or non-finite component links with nothing. Vectors of different lengths don't link. Repeated ids are
-separate rows; null ids are passed over in component_id unless there is nothing else.
+separate rows; null ids are passed over in component_id unless there is nothing else. A cosine of exactly the
+threshold (a tie) is a link. An empty table gives an empty result. Only the id and the vector are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ the reference into shards by anchor, settles segments that are identical, and se
 differ. There a suffix automaton of the shard is built, the segments are streamed through it for matching statistics
 (the longest suffix read so far that occurs twice), and maximal spans of W words or more are returned.
 
-Nulls: a null text has no words. Repeated ids are separate rows, and so repeat one another.
+Nulls: a null text has no words. Repeated ids are separate rows, and so repeat one another; of equal texts (ties) all
+lose their windows. An empty table gives an empty result. Texts of any length are read whole; a task holds one long
+text and its hashes. Columns named n_words, n_removed or kept are replaced, any other name may occur.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ of a few whole groups. Its longest-previous-factor array is needed only through
 first W bytes agree (a run of suffix order), a previous or next smaller text position is an earlier match.
 
 Nulls: a null text is empty. A null doc_id comes before all others; rows with equal ids are separate documents ordered
-by their text. Documents under W bytes lose nothing.
+by their text (of equal texts, ties, all but one lose what they share). Documents under W bytes lose nothing. An
+empty table gives an empty result. Texts of any length are read whole; a task holds one long text and its hashes.
+Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

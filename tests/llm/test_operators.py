@@ -513,3 +513,36 @@ def test_all_are_compared_in_the_end(spark, monkeypatch):
     x[100:110] = x[:10] + 0.01
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     assert got(neighbours.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == Counter(linked(x))
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of a megabyte and a half, ties, repeated rows, and columns named like the operators' own."""
+    rng = np.random.default_rng(21)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 100000, 220000))
+    same = " ".join(f"w{i}" for i in rng.integers(0, 100000, 60))
+    rows_ = [(0, long, "en", "a", 1), (1, same, "en", "a", 1), (2, same, "fr", "b", 1), (2, same, "fr", "b", 1), (3, long[:1_000_000], "fr", "b", 1), (4, "", None, None, None), (5, None, None, None, None)]
+    odd = ["at", "list", "family", "pair", "bucket", "item", "id_", "term", "n", "g", "h", "pos", "stop", "size", "x", "c", "digest", "a-b", "c d"]
+    return spark.createDataFrame(rows_, DDL).select("*", *[F.lit(i).alias(c) for i, c in enumerate(odd)])
+
+
+def test_long_texts_ties_and_names(long_docs):
+    """Each operator gives a row a document, and equal rows get equal results."""
+    n = long_docs.count()
+    twice = lambda df, *cols: [tuple(r[c] for c in cols) for r in df.where("doc_id = 2").collect()]
+    out = suffix_dedup.remove_repeats(long_docs).cache()
+    assert out.count() == n and {r.doc_id: r.n_removed for r in out.where("doc_id in (0, 1, 3)").collect()} == {0: 0, 1: 0, 3: 1_000_000} and [x[0] == x[1] for x in twice(out, "n_bytes", "n_removed")] == [True] * 2
+    out = substring_dedup.remove_repeats(long_docs).cache()
+    assert out.count() == n and out.columns[: len(long_docs.columns)] == long_docs.columns and {x[0] - x[1] for x in twice(out, "n_words", "n_removed")} == {0}
+    out = simhash.near_duplicates(long_docs)
+    assert out.count() == n and {x[0] for x in twice(out, "component_id")} == {1}
+    out = near_copies.near_copies(long_docs)
+    assert out.columns == [*long_docs.columns, "is_first"] and {r.doc_id for r in out.where("is_first").collect()} == {0, 1, 3, 4}
+    scores = twice(lm_score.score(long_docs), "score")
+    assert len(scores) == 2 and scores[0] == scores[1]
+    out = langid.identify(long_docs)
+    assert out.columns == [*long_docs.columns, "lang_pred", "score"] and len(set(twice(out, "lang_pred", "score"))) == 1 and out.count() == n
+    out = mixing.mix(long_docs)
+    assert out.count() == n and out.where("taken > 3 * size").count() == 0
+    assert decontaminate.clean(long_docs, long_docs.where("doc_id = 1"), item_id="doc_id").count() == n - 3
+    assert token_counts.corpus_rollup(long_docs).agg(F.sum("docs")).first()[0] == 4
