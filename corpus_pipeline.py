@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mix", source_mix),
 ]
 
-#: A trained network, hashes and draws decide; SQL has no words for them. tests/llm holds run() to brute force.
+#: A trained network, hashes and draws decide; SQL has no words for them. tests/llm holds the stages to brute force.
 ORACLE_SQL = None
 
 
