@@ -10,8 +10,8 @@ Documents are dealt to groups by hash (of GROUP documents or GROUP_BYTES of text
 count table is partitioned by those buckets: where a bucket's rows meet, its part of the table is summed and joined to
 the rows that asked, in one shuffle, since both sides are the same rows. The counts return to the group, which sums
 the scores of its documents. Hot n-grams are one entry a group, and a task holds one bucket of one order at a time,
-read in sorted order. An n-gram is a 64-bit hash, sorted and stored as differences, many to a row, and what moves
-grows with the corpus, never with the square of anything.
+read in sorted order. An n-gram is a 64-bit hash, sorted and stored as differences, many to a row, in compressed byte
+planes; count(c) travels as the few times c ends a document. What moves grows with the corpus, never with the square of anything.
 
 Sums are of integers (millionths of a natural logarithm), so they don't depend on any order. Nulls: a null or empty
 text has no words and score 0. Repeated ids are separate rows, and repeated texts score alike. An empty table gives an
@@ -25,15 +25,19 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import WORD, keyed, partitions
 from strata.llm.repeats import _TABLE, group_starts, mix, prefixes, spread, texts_of, word_spans
 
-ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
+ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 GROUP, GROUP_BYTES, BUCKET = 500, 4 << 20, 4 << 20
 UNIT = 1e6
+#: Bytes of a plane from which compressing it is tried.
+LEAST_PLANE = 64
+_SHORTEN, _LENGTHEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -50,33 +54,43 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.nd
     return out, bounds
 
 
-def _pack(h: np.ndarray) -> bytes:
-    """Sorted distinct hashes as differences, by byte planes, without the planes that are zero."""
-    d = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    used = [i for i in range(8) if d[i].any()]
-    return bytes([sum(1 << i for i in used)]) + b"".join(np.ascontiguousarray(d[i]).tobytes() for i in used)
+def _pack(v: np.ndarray) -> bytes:
+    """Whole numbers by byte planes: planes of zeros are left out, planes that zstd shortens are compressed."""
+    planes = v.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    used = small = 0
+    out = []
+    for i in range(8):
+        if not planes[i].any():
+            continue
+        used |= 1 << i
+        raw = planes[i].tobytes()
+        less = _SHORTEN.compress(raw) if len(raw) >= LEAST_PLANE else raw
+        if len(less) + 4 < len(raw):
+            small |= 1 << i
+            raw = len(less).to_bytes(4, "little") + less
+        out.append(raw)
+    return bytes([used, small]) + b"".join(out)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    used = [i for i in range(8) if raw[0] >> i & 1]
-    n = (len(raw) - 1) // max(1, len(used))
-    d = np.zeros((n, 8), np.uint8)
-    for k, i in enumerate(used):
-        d[:, i] = np.frombuffer(raw, np.uint8, n, 1 + k * n)
-    return np.cumsum(d.reshape(-1).view(np.uint64))
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    planes, at = np.zeros((n, 8), np.uint8), 2
+    for i in range(8):
+        if raw[0] >> i & 1:
+            if raw[1] >> i & 1:
+                size = int.from_bytes(raw[at : at + 4], "little")
+                own, at = _LENGTHEN.decompress(raw[at + 4 : at + 4 + size]), at + 4 + size
+            else:
+                own, at = raw[at : at + n], at + n
+            planes[:, i] = np.frombuffer(own, np.uint8)
+    return planes.reshape(-1).view(np.uint64)
 
 
-def _ints(n: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs, by byte planes."""
-    p = n.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
-    return b"".join(np.ascontiguousarray(p[i]).tobytes() for i in range(8) if p[i:].any())
+def _pack_sorted(h: np.ndarray) -> bytes:
+    return _pack(np.diff(h, prepend=np.uint64(0)))
 
 
-def _from_ints(raw: bytes, n: int) -> np.ndarray:
-    p = np.zeros((n, 8), np.uint8)
-    for i in range(len(raw) // n if n else 0):
-        p[:, i] = np.frombuffer(raw, np.uint8, n, i * n)
-    return p.reshape(-1).view(np.uint64).astype(np.int64)
+def _unpack_sorted(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(raw, n))
 
 
 def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +107,19 @@ def _own(table: pa.Table, order: int):
 
 
 def _tables(table: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n: the group's distinct n-grams, how often each occurs and how often a word follows it."""
+    """For each n: the group's distinct n-grams, how often each occurs and how often it ends a document."""
     parts: list[list] = [[] for _ in range(order)]
     for _, _, gram, bounds in _own(table, order):
-        follows = np.ones(len(gram[0]), np.int64)
-        follows[bounds[1:][np.diff(bounds) > 0] - 1] = 0
+        ends = np.zeros(len(gram[0]), np.int64)
+        ends[bounds[1:][np.diff(bounds) > 0] - 1] = 1
         for n, h in enumerate(gram):
-            parts[n].append((h, follows))
+            parts[n].append((h, ends))
     out = []
     for p in parts:
         h = np.concatenate([x for x, _ in p]) if p else np.zeros(0, np.uint64)
-        f = np.concatenate([x for _, x in p]) if p else np.zeros(0, np.int64)
+        ends = np.concatenate([x for _, x in p]) if p else np.zeros(0, np.int64)
         real = h != 0
-        both, weight = _distinct(h[real], (np.int64(1) << 32) + f[real])  # occurrences and followers in one sum; a group has fewer than 2^31 words
+        both, weight = _distinct(h[real], (np.int64(1) << 32) + ends[real])  # occurrences and ends in one sum; a group has fewer than 2^31 words
         out.append((both, weight >> 32, weight & 0xFFFFFFFF))
     return out
 
@@ -121,32 +135,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     dealt = rows.select(F.pmod(F.xxhash64("row_key"), F.lit(n_groups)).alias("g"), "row_key", id_col, "text")
 
     def ask(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("g", "n", "bucket", "size", "h", "counts", "followed")}
+        out: dict[str, list] = {c: [] for c in ("g", "n", "bucket", "size", "h", "counts", "ends")}
         g = table.column("g")[0].as_py()
-        for n, (h, c, f) in enumerate(_tables(table, order)):
+        for n, (h, c, e) in enumerate(_tables(table, order)):
             at = np.searchsorted(h, _edges(p))
             for b in range(p):
                 s = slice(at[b], at[b + 1])
                 if s.stop > s.start:
-                    for k, v in zip(out, (g, n, b, s.stop - s.start, _pack(h[s]), _ints(c[s]), _ints(f[s])), strict=True):
+                    for k, v in zip(out, (g, n, b, s.stop - s.start, _pack_sorted(h[s]), _pack(c[s]), _pack(e[s]) if n < order - 1 else None), strict=True):
                         out[k].append(v)
         _release()
-        return pa.table({k: pa.array(v, pa.binary() if k in ("h", "counts", "followed") else pa.int64()) for k, v in out.items()})
+        return pa.table({k: pa.array(v, pa.binary() if k in ("h", "counts", "ends") else pa.int64()) for k, v in out.items()})
 
     def answer(batches):
         rows_ = (x for b in batches for x in b.to_pylist())
         for (bucket, n), own in itertools.groupby(rows_, key=lambda x: (x["bucket"], x["n"])):
-            own = list(own)
-            h = np.concatenate([_unpack(x["h"]) for x in own])
+            own, context = list(own), n < order - 1
+            h = np.concatenate([_unpack_sorted(x["h"], x["size"]) for x in own])
             table, place = np.unique(h, return_inverse=True)
-            total, followed = (np.bincount(place, np.concatenate([_from_ints(x[c], x["size"]) for x in own]), len(table)).astype(np.int64) for c in ("counts", "followed"))
-            if n:
-                total[total < min_count] = 0  # not in the table
-            total, followed, at = total[place], followed[place], 0
+            total, ends = (np.bincount(place, np.concatenate([_unpack(x[c], x["size"]) for x in own]), len(table)).astype(np.int64)[place] if c == "counts" or context else None for c in ("counts", "ends"))
+            at = 0
             for x in own:
                 s = slice(at, at + x["size"])
                 at = s.stop
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((x["g"], pa.int64()), (n, pa.int64()), (bucket, pa.int64()), (x["size"], pa.int64()), (_ints(total[s]), pa.binary()), (_ints(followed[s]) if n < order - 1 else b"", pa.binary()))], ["g", "n", "bucket", "size", "counts", "followed"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((x["g"], pa.int64()), (n, pa.int64()), (bucket, pa.int64()), (x["size"], pa.int64()), (_pack(total[s]), pa.binary()), (_pack(ends[s]) if context else None, pa.binary()))], ["g", "n", "bucket", "size", "counts", "ends"])
             _release()
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -154,8 +166,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
         found = []
         for n in range(order):
             mine = sorted((x for x in answers if x["n"] == n), key=lambda x: x["bucket"])
-            c = np.concatenate([_from_ints(x["counts"], x["size"]) for x in mine] or [np.zeros(0, np.int64)])
-            f = np.concatenate([_from_ints(x["followed"], x["size"]) for x in mine] or [np.zeros(0, np.int64)]) if n < order - 1 else c
+            c, ends = (np.concatenate([_unpack(x[k], x["size"]).astype(np.int64) for x in mine if x[k] is not None] or [np.zeros(0, np.int64)]) for k in ("counts", "ends"))
+            f = c - ends if n < order - 1 else c
+            if n:
+                c = np.where(c < min_count, 0, c)  # not in the table
             found.append((own[n][0], c, f))
         count, back, total = (np.zeros(left.num_rows, np.int64) for _ in range(3))
         for i, j, gram, bounds in _own(left, order):
@@ -181,8 +195,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
             count[i:j] = np.diff(bounds)
         return pa.table({id_col: left.column(id_col), "n_words": pa.array(count), "n_backoff": pa.array(back), "score": pa.array(total / UNIT), "mean_score": pa.array(np.floor(total / np.maximum(count, 1) + 0.5) / UNIT)})
 
-    asked = dealt.groupBy("g").applyInArrow(ask, "g long, n long, bucket long, size long, h binary, counts binary, followed binary")
-    answered = asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "n").mapInArrow(answer, "g long, n long, bucket long, size long, counts binary, followed binary")
+    asked = dealt.groupBy("g").applyInArrow(ask, "g long, n long, bucket long, size long, h binary, counts binary, ends binary")
+    answered = asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "n").mapInArrow(answer, "g long, n long, bucket long, size long, counts binary, ends binary")
     kind = dict(docs.dtypes)[id_col]
     return dealt.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(sum_up, f"`{id_col}` {kind}, n_words long, n_backoff long, score double, mean_score double")
 

@@ -60,11 +60,13 @@ _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 ORACLE_SQL = {
     "op2_lm_score": rf"""
 with w as (select doc_id, unnest({_WORDS}) w, generate_subscripts({_WORDS}, 1) i from documents),
-b as (select doc_id, i, w, lag(w) over (partition by doc_id order by i) p, lead(w) over (partition by doc_id order by i) x from w),
+b as (select doc_id, i, w, lag(w) over (partition by doc_id order by i) p, lag(w, 2) over (partition by doc_id order by i) pp, lead(w) over (partition by doc_id order by i) x from w),
 c1 as (select w, count(*) n, count(x) f from b group by w),
-c2 as (select p, w, count(*) n from b where p is not null group by p, w having count(*) >= 2),
-s as (select b.doc_id, c2.n is null backed, round(ln(case when c2.n is not null then c2.n / cp.f else c1.n / (select count(*) from w)::double * 0.4 end) * 1e6)::bigint v
-  from b join c1 using (w) left join c1 cp on cp.w = b.p left join c2 on c2.p = b.p and c2.w = b.w),
+c2 as (select p, w, count(*) n, count(x) f from b where p is not null group by p, w),
+c3 as (select pp, p, w, count(*) n from b where pp is not null group by pp, p, w having count(*) >= 2),
+s as (select b.doc_id, c3.n is null backed, round(ln(case when c3.n is not null then c3.n / cc.f when c2.n >= 2 then c2.n / cp.f * 0.4::double else c1.n / (select count(*) from w)::double * pow(0.4, 2) end) * 1e6)::bigint v
+  from b join c1 using (w) left join c1 cp on cp.w = b.p left join c2 on c2.p = b.p and c2.w = b.w
+  left join c2 cc on cc.p = b.pp and cc.w = b.p left join c3 on c3.pp = b.pp and c3.p = b.p and c3.w = b.w),
 t as (select doc_id, count(*) n_words, count(*) filter (backed) n_backoff, sum(v)::bigint v from s group by doc_id)
 select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_backoff, 0) n_backoff, coalesce(v, 0) / 1e6 score,
   floor(coalesce(v, 0) / greatest(coalesce(n_words, 0), 1)::double + 0.5) / 1e6 mean_score

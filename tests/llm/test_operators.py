@@ -289,11 +289,12 @@ def test_language_id(spark, sf_dir, docs, none):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_lm_score(docs, rows, none):
+@pytest.mark.parametrize(("order", "least"), [(1, 2), (2, 2), (3, 2), (3, 1), (4, 3)])
+def test_lm_score(docs, rows, none, order, least):
     texts, c, f, n = [(r[0], (r[1] or "").encode().split()) for r in rows], Counter(), Counter(), 0
     for _, w in texts:
         n += len(w)
-        for k in (1, 2):
+        for k in range(1, order + 1):
             for i in range(len(w) - k + 1):
                 c[tuple(w[i : i + k])] += 1
                 f[tuple(w[i : i + k])] += i + k < len(w)
@@ -301,14 +302,25 @@ def test_lm_score(docs, rows, none):
     for i, w in texts:
         back = total = 0
         for k in range(len(w)):
-            if k and c[w[k - 1], w[k]] >= 2:
-                v = c[w[k - 1], w[k]] / f[w[k - 1],]
-            else:
-                v, back = c[w[k],] / n * 0.4, back + 1
-            total += round(math.log(v) * 1e6)
+            for size in range(min(order, k + 1), 0, -1):
+                gram = tuple(w[k + 1 - size : k + 1])
+                if size == 1 or c[gram] >= least:
+                    break
+            back += size < order
+            total += round(math.log(c[gram] / (f[gram[:-1]] if size > 1 else n) * 0.4 ** (order - size)) * 1e6)
         want[i, len(w), back, total] += 1
-    assert Counter((r.doc_id, r.n_words, r.n_backoff, round(r.score * 1e6)) for r in lm_score.score(docs).collect()) == want
-    assert lm_score.score(none).count() == 0
+    out = lm_score.score(docs, order=order, min_count=least)
+    assert Counter((r.doc_id, r.n_words, r.n_backoff, round(r.score * 1e6)) for r in out.collect()) == want
+    assert lm_score.score(none, order=order).count() == 0
+
+
+@pytest.mark.parametrize("high", [1, 2, 300, 1 << 40, (1 << 64) - 1])
+def test_packed_numbers(high):
+    for n in (0, 1, 63, 64, 5000):
+        v = np.random.default_rng(n).integers(0, high, n, dtype=np.uint64, endpoint=True)
+        assert (lm_score._unpack(lm_score._pack(v), n) == v).all()
+        v.sort()
+        assert (lm_score._unpack_sorted(lm_score._pack_sorted(v), n) == v).all()
 
 
 def test_mixing(spark, sf_dir, docs, none):
