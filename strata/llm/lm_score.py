@@ -11,7 +11,7 @@ count table is partitioned by those buckets: where a bucket's rows meet, its par
 the rows that asked, in one shuffle, since both sides are the same rows. The counts return to the group, which sums
 the scores of its documents. Hot n-grams are one entry a group, and a task holds one bucket of one order at a time,
 read in sorted order. An n-gram is a 64-bit hash, sorted and stored as differences, many to a row, in compressed byte
-planes; count(c) travels as the few times c ends a document. What moves grows with the corpus, never with the square of anything.
+planes; count(c) travels as the few times c ends a document, and texts are compressed. What moves grows with the corpus, never with the square of anything.
 
 Sums are of integers (millionths of a natural logarithm), so they don't depend on any order. Nulls: a null or empty
 text has no words and score 0. Repeated ids are separate rows, and repeated texts score alike. An empty table gives an
@@ -93,6 +93,12 @@ def _unpack_sorted(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpack(raw, n))
 
 
+def _shorten(batches):
+    """Texts go to their groups compressed; a null is an empty text."""
+    for b in batches:
+        yield b.set_column(2, "text", pa.array([_SHORTEN.compress(x or b"") for x in b.column(2).to_pylist()], pa.binary()))
+
+
 def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h)
     h, weight = h[order], weight[order]
@@ -102,7 +108,8 @@ def _distinct(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _own(table: pa.Table, order: int):
     """(first row, last row, n-gram hashes, bounds) of a group, chunk by chunk."""
-    for i, j, data, offsets in texts_of(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())):
+    texts = pa.array([_LENGTHEN.decompress(x) for x in table.column("text").to_pylist()], pa.large_binary())
+    for i, j, data, offsets in texts_of(texts):
         yield i, j, *grams(data, offsets, order)
 
 
@@ -132,7 +139,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: in
     corpus = size["words"]
     n_groups = max(1, size["n"] // GROUP, size["bytes"] // GROUP_BYTES)
     p = max(2 * partitions(spark), corpus * order // BUCKET)
-    dealt = rows.select(F.pmod(F.xxhash64("row_key"), F.lit(n_groups)).alias("g"), "row_key", id_col, "text")
+    dealt = rows.select(F.pmod(F.xxhash64("row_key"), F.lit(n_groups)).alias("g"), id_col, F.col("text").cast("binary").alias("text"))
+    dealt = dealt.mapInArrow(_shorten, dealt.schema)
 
     def ask(table: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("g", "n", "bucket", "size", "h", "counts", "ends")}
