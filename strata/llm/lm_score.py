@@ -33,7 +33,7 @@ from strata.llm.common import WORD, keyed, partitions
 from strata.llm.repeats import _TABLE, group_starts, mix, prefixes, spread, texts_of, word_spans
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
-GROUP, GROUP_BYTES, BUCKET = 500, 4 << 20, 4 << 20
+GROUP, GROUP_BYTES, BUCKET = 2000, 8 << 20, 4 << 20
 UNIT = 1e6
 #: Bytes of a plane from which compressing it is tried.
 LEAST_PLANE = 64
