@@ -10,7 +10,7 @@ from strata.functions.blend import MODES, mode_code
 from strata.operators import analysis, compose, filters, geometry, neighbourhood, shapes, sheets, strokes, tree
 from strata.plans import documents, drawing, wrappers
 from strata.plans import oracle as O
-from strata.sources import codecs
+from strata.sources import codecs, webp
 from strata.sources.views import layers, pixels, plane, table
 
 DEPTH = 5
@@ -100,6 +100,11 @@ def _png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.to_pixels(codecs.from_png(codecs.to_png(codecs.to_buffers(pixels(spark, sf_dir)))))
 
 
+def _webp_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = webp.to_webp(codecs.to_buffers(pixels(spark, sf_dir)))
+    return codecs.to_pixels(codecs.from_files(files, "webp"))
+
+
 QUERIES: dict = {
     "render_documents": lambda s, d: compose.render(_stack(s, d), DEPTH, ["doc_id", "x", "y"]),
     **{f"blend_{m.replace('-', '_')}": (lambda s, d, m=m: compose.blend_images(*_pair(s, d), m, KEYS)) for m in MODES},
@@ -145,6 +150,7 @@ QUERIES: dict = {
     "base64": _base64,
     "detect_format": _formats,
     "png_round_trip": _png_round_trip,
+    "webp_round_trip": _webp_round_trip,
 }
 
 _P = O.PIXELS
@@ -213,6 +219,7 @@ select sheet, idx, x, y, w, h from p""",
     "base64": "select doc_id, to_base64(encode(text)) b64, text from documents",
     "detect_format": "select page_id, case page_id % 7 when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' when 3 then 'gif' when 4 then 'psd' else 'unknown' end format from pages",
     "png_round_trip": _px + "* from px",
+    "webp_round_trip": _px + "* from px",
 }
 for part in (drawing, documents, wrappers):
     QUERIES |= part.QUERIES

@@ -131,7 +131,7 @@ def from_png(files: DataFrame) -> DataFrame:
 
 def decode(raw: bytes) -> tuple[int, int, bytes]:
     """(width, height, RGBA) of a file of any known format: the first frame of a GIF, the first layer of a PSD (or its empty canvas)."""
-    from strata.sources import gif, jpeg, psd
+    from strata.sources import gif, jpeg, psd, webp
 
     if raw[:4] == b"\x89PNG" and len(raw) >= 8:
         return decode_png(raw)
@@ -146,7 +146,7 @@ def decode(raw: bytes) -> tuple[int, int, bytes]:
         w, h, layers = psd.decode_psd(raw)
         return (layers[0]["width"], layers[0]["height"], layers[0]["data"]) if layers else (w, h, bytes(w * h * 4))
     if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
-        raise ValueError("no decoder for WebP here")
+        return webp.decode_webp(raw)
     raise ValueError("unknown format")
 
 

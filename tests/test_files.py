@@ -1,4 +1,4 @@
-"""Image files: line filters, limits, JPEG, PSD, and files that are spoilt."""
+"""Image files: line filters, limits, JPEG, WebP, PSD, and files that are spoilt."""
 
 import struct
 import zlib
@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from strata.sources import codecs, jpeg, psd
+from strata.sources import codecs, jpeg, psd, webp
 
 
 def plain(kind, lines, n):
@@ -64,6 +64,87 @@ def test_jpeg():
     assert sorted(jpeg.ZIGZAG.tolist()) == list(range(64)) and jpeg.ZIGZAG[:6].tolist() == [0, 1, 8, 16, 9, 2]
 
 
+def test_webp(spark):
+    rng = np.random.default_rng(4)
+    shapes = [(1, 1, 256), (5, 3, 256), (40, 31, 4), (600, 2, 200), (2, 700, 2), (3, 3, 1)]
+    images = [(w, h, rng.integers(0, top, (h, w, 4), dtype=np.uint8).tobytes()) for w, h, top in shapes]
+    assert [codecs.decode(webp.encode_webp(*x)) for x in images] == images
+    buffers = spark.createDataFrame([(i, *x) for i, x in enumerate(images)], "image_id long, width int, height int, data binary")
+    back = codecs.from_files(webp.to_webp(buffers).withColumnRenamed("webp", "content"))
+    assert {tuple(r)[:4] for r in back.collect()} == {tuple(r) for r in buffers.collect()}
+    with pytest.raises(ValueError, match="lossy"):
+        webp.decode_webp(b"RIFF\x10\0\0\0WEBPVP8 \x04\0\0\0abcd")
+    whole = webp.encode_webp(*images[2])
+    with pytest.raises(ValueError):
+        webp.decode_webp(whole[:60])
+    with pytest.raises(ValueError):
+        webp.encode_webp(0, 3, b"")
+
+
+def _webp(w, h, *pairs):
+    """A file of numbers of so many bits each."""
+    pairs = [(0x2F, 8), (w - 1, 14), (h - 1, 14), (1, 1), (0, 3), *pairs]
+    value = place = 0
+    for v, n in pairs:
+        value, place = value | v << place, place + n
+    data = value.to_bytes((place + 7) // 8, "little")
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
+def _one(*symbols):
+    """Codes of one symbol."""
+    return [p for s in symbols for p in ((1, 1), (0, 1), (1, 1), (s, 8))]
+
+
+def _two(a, b):
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def _pair(alphabet, *symbols):
+    """A code of two symbols, of one bit each, by its lengths."""
+    return [(0, 1), (0, 4), (0, 3), (0, 3), (1, 3), (1, 3), (0, 1), *[(int(i in symbols), 1) for i in range(alphabet)]]
+
+
+def test_webp_by_hand():
+    px = bytes([1, 7, 2, 255])
+    # a copy of two pixels from one to the left
+    assert webp.decode_webp(_webp(3, 1, (0, 1), (0, 1), (0, 1), *_pair(280, 7, 257), *_one(1, 2, 255, 1), (0, 1), (1, 1)))[2] == px * 3
+    # a copy from before the first pixel
+    with pytest.raises(ValueError, match="outside"):
+        webp.decode_webp(_webp(3, 1, (0, 1), (0, 1), (0, 1), *_pair(280, 7, 257), *_one(1, 2, 255, 1), (1, 1)))
+    # a colour that was seen, in a cache of two
+    seen = 280 + ((0xFF010702 * 0x1E35A7BD & 0xFFFFFFFF) >> 31)
+    assert webp.decode_webp(_webp(2, 1, (0, 1), (1, 1), (1, 4), (0, 1), *_pair(282, 7, seen), *_one(1, 2, 255, 0), (0, 1), (1, 1)))[2] == px * 2
+    # two colours, eight pixels in a number
+    colors = [bytes([3, 5, 4, 255]), bytes([6, 15, 8, 255])]
+    palette = [(1, 1), (3, 2), (1, 8), (0, 1), *_two(5, 10), *_one(3, 4), *_two(0, 255), *_one(0), (0, 1), (1, 1), (1, 1), (0, 1)]
+    assert webp.decode_webp(_webp(5, 1, *palette, (0, 1), (0, 1), (0, 1), *_one(0b10110, 0, 0, 0, 0)))[2] == b"".join(colors[i] for i in (0, 1, 1, 0, 1))
+    # red and blue by green, blue by red
+    blocks = [(1, 1), (1, 2), (0, 3), (0, 1), *_one(32, 16, 224, 255, 0)]
+    assert webp.decode_webp(_webp(1, 1, *blocks, (0, 1), (0, 1), (0, 1), *_one(10, 50, 20, 9, 0)))[2] == bytes([40, 10, 50, 9])
+    # two groups of codes, for blocks of four pixels
+    meta = [(0, 1), (0, 1), (1, 1), (0, 3), (0, 1), *_two(0, 1), *_one(0, 0, 0, 0), (0, 1), (1, 1)]
+    assert webp.decode_webp(_webp(6, 1, *meta, *_one(7, 1, 2, 255, 0), *_one(8, 1, 2, 255, 0)))[2] == px * 4 + bytes([1, 8, 2, 255]) * 2
+
+
+def test_webp_modes():
+    a, b, c, d = [10, 20, 30, 40], [200, 21, 33, 0], [7, 250, 30, 1], [90, 10, 255, 40]
+    assert webp._MODES[5](a, b, c, d) == [(((x + z) >> 1) + y) >> 1 for x, y, z in zip(a, b, c, strict=True)]
+    assert webp._MODES[11](a, b, c, d) == (a if 110 + 11 + 222 + 40 < 80 + 10 + 225 else b)
+    assert webp._MODES[12](a, b, c, d) == [120, 31, 0, 0]
+    assert webp._MODES[13](a, b, c, d) == [105 + 7, 20 + 5, 0, 20 - 10]
+    rng = np.random.default_rng(6)
+    px, modes = rng.integers(0, 256, (9, 11, 4)), rng.integers(0, 14, (3, 3))
+    flat, rest = px.reshape(-1, 4).tolist(), px.copy()
+    for y in range(9):
+        for x in range(11):
+            i = y * 11 + x
+            guess = [255, 0, 0, 0] if not i else flat[i - 1] if not y else flat[i - 11] if not x else webp._MODES[modes[y >> 2, x >> 2]](flat[i - 1], flat[i - 11], flat[i - 10], flat[i - 12])
+            rest[y, x] = (px[y, x] - guess) % 256
+    assert (webp._unpredicted(rest, modes, 2) == px).all()
+
+
+
 def test_jpeg_by_another_reader(spark, tmp_path):
     """What is written can be read by the JVM's reader, and gives nearly the same pixels."""
     x, y = np.meshgrid(np.arange(24), np.arange(16))
