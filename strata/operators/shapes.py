@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.color import lit
 
+#: Most pixels of a tile, and about as many as arrays hold at a time.
+TILE = 1 << 16
+
 
 def grid(spark: SparkSession, w: int, h: int) -> DataFrame:
     p = spark.range(w * h)
@@ -61,6 +69,19 @@ def _cells(shapes: DataFrame) -> DataFrame:
     return at.withColumns({"x": (F.col("_p") % wide).cast("int"), "y": F.floor(F.col("_p") / wide).cast("int")}).drop("_p")
 
 
+def _tiles(shapes: DataFrame) -> DataFrame:
+    """Shapes by tiles (_x0, _x1, _y0, _y1, ends included), dealt to all tasks: few rows, which become many pixels."""
+    w, h = (F.greatest(F.col(c), F.lit(1)).cast("long") for c in "wh")
+    sized = shapes.withColumns({"_w": w, "_h": h, "_tw": F.least(w, F.lit(TILE))})
+    sized = sized.withColumn("_th", F.expr(f"{TILE} div _tw")).withColumn("_nx", F.expr("(_w + _tw - 1) div _tw"))
+    at = sized.withColumn("_t", F.explode(F.expr("sequence(0L, _nx * ((_h + _th - 1) div _th) - 1)")))
+    at = at.withColumns({"_x0": F.expr("_t % _nx * _tw"), "_y0": F.expr("_t div _nx * _th")})
+    ends = {"_x0": "_x0", "_x1": "least(_x0 + _tw, _w) - 1", "_y0": "_y0", "_y1": "least(_y0 + _th, _h) - 1"}
+    at = at.select(*shapes.columns, *[F.expr(f"cast({v} as int)").alias(k) for k, v in ends.items()])
+    spark = shapes.sparkSession
+    return at.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _part(hit: Column, stroke: Column) -> Column:
     return F.when(stroke, "stroke").when(hit, "fill")
 
@@ -104,25 +125,63 @@ def line(shapes: DataFrame, width: int = 1) -> DataFrame:
     return _cells(shapes).where(near).select("shape", "x", "y", F.lit("stroke").alias("part"))
 
 
+def _polygon_cells(stroke: int):
+    """Batches of tiles (shape, _x0, _x1, _y0, _y1, _xs, _ys) to pixels (shape, x, y, edge)."""
+
+    def cells(b: pa.RecordBatch) -> pa.RecordBatch:
+        x0, x1, y0, y1 = (b.column(c).to_numpy() for c in ("_x0", "_x1", "_y0", "_y1"))
+        n, first = b.column("_xs").value_lengths().to_numpy(), b.column("_xs").offsets.to_numpy()[:-1]
+        xs, ys = (b.column(c).values.to_numpy(zero_copy_only=False) for c in ("_xs", "_ys"))
+        tall, wide = y1 - y0 + 1, x1 - x0 + 1
+        tile = np.repeat(np.arange(len(n)), tall)  # of a line of pixels
+        begin = np.cumsum(tall) - tall
+        line = np.arange(len(tile)) - begin[tile] + y0[tile]
+        long = wide[tile]
+        end = np.cumsum(long)
+        x = np.arange(end[-1]) + np.repeat(x0[tile] - (end - long), long)
+        fx, fy = x + 0.5, line + 0.5
+        inside, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        for k in range(n[0]):
+            some = np.searchsorted(-n, -k)  # tiles come by falling numbers of corners
+            rows = begin[some - 1] + tall[some - 1]
+            at, to, size = first[:some] + (k or n[:some]) - 1, first[:some] + k, long[:rows]
+            t, cut = tile[:rows], end[rows - 1]
+            ax, ay, by = xs[at], ys[at], ys[to][t]
+            vx, vy = xs[to] - ax, ys[to] - ay
+            dy, v = fy[:rows] - ay[t], vy[t]
+            spans = (ay[t] > fy[:rows]) != (by > fy[:rows])
+            inside[:cut] ^= fx[:cut] < np.repeat(np.where(spans, vx[t] * dy / np.where(spans, v, 1.0) + ax[t], -np.inf), size)
+            if stroke:
+                total = vx * vx + vy * vy
+                dx, v_x = fx[:cut] - np.repeat(ax[t], size), np.repeat(vx[t], size)
+                share = np.clip((dx * v_x + np.repeat(dy * v, size)) / np.repeat(np.where(total <= 0, 1.0, total)[t], size), 0.0, 1.0)
+                dx -= v_x * share
+                off = np.repeat(dy, size) - np.repeat(v, size) * share
+                edge[:cut] |= dx * dx + off * off <= (stroke / 2.0) ** 2
+        kept = np.flatnonzero(inside | edge)
+        ids = b.column("shape").take(pa.array(np.repeat(tile, long)[kept]))
+        return pa.RecordBatch.from_arrays([ids, pa.array(x[kept].astype(np.int32)), pa.array(np.repeat(line, long)[kept].astype(np.int32)), pa.array(edge[kept])], ["shape", "x", "y", "edge"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for b in batches:
+                size = np.cumsum((b.column("_x1").to_numpy().astype(np.int64) - b.column("_x0").to_numpy() + 1) * (b.column("_y1").to_numpy() - b.column("_y0").to_numpy() + 1))
+                n = b.column("_xs").value_lengths().to_numpy()
+                group = size // TILE
+                order = np.lexsort((-n, group))
+                for g in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+                    if len(g):
+                        yield cells(b.take(pa.array(g)))
+
+    return run
+
+
 def polygon(shapes: DataFrame, stroke: int = 0) -> DataFrame:
     """(shape, x, y, part) of shapes (shape, w, h, points): even-odd inside, stroke on both sides of the edges.
 
-    ``points`` is an array of structs (x, y); fewer than three draw nothing.
+    ``points`` is an array of structs (x, y); fewer than three draw nothing, nor does an edge at a corner without numbers.
     """
-    n = F.size("points")
-    ring = F.transform("points", lambda p, i: F.struct(p["x"].cast("double").alias("bx"), p["y"].cast("double").alias("by"), F.element_at("points", F.when(i == 0, n).otherwise(i))["x"].cast("double").alias("ax"), F.element_at("points", F.when(i == 0, n).otherwise(i))["y"].cast("double").alias("ay")))
-    cell = _cells(shapes.where(n >= 3).withColumn("_ring", ring))
-    x, y = F.col("x") + 0.5, F.col("y") + 0.5
-
-    def crosses(e: Column) -> Column:
-        spans = (e["ay"] > y) != (e["by"] > y)
-        return spans & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.when(spans, e["by"] - e["ay"]).otherwise(lit(1)) + e["ax"])
-
-    inside = F.size(F.filter("_ring", crosses)) % 2 == 1
-    cell = cell.withColumn("_in", inside)
-    if stroke:
-        near = F.exists("_ring", lambda e: _distance(x, y, e["ax"], e["ay"], e["bx"], e["by"]) <= (stroke / 2.0) ** 2)
-        cell = cell.withColumn("_part", _part(F.col("_in"), near))
-    else:
-        cell = cell.withColumn("_part", F.when(F.col("_in"), "fill"))
-    return cell.where("_part is not null").select("shape", "x", "y", F.col("_part").alias("part"))
+    tiles = _tiles(shapes.where(F.size("points") >= 3).select("shape", "w", "h", *[F.col("points")[c].cast("array<double>").alias(f"_{c}s") for c in "xy"]))
+    schema = T.StructType([tiles.schema["shape"], *[T.StructField(c, T.IntegerType()) for c in "xy"], T.StructField("edge", T.BooleanType())])
+    part = F.when(F.col("edge"), "stroke").otherwise("fill")
+    return tiles.drop("w", "h").mapInArrow(_polygon_cells(stroke), schema).select("shape", "x", "y", part.alias("part"))
