@@ -82,6 +82,17 @@ def _tiles(shapes: DataFrame) -> DataFrame:
     return at.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
+def _lines(tiles: DataFrame) -> DataFrame:
+    """The lines y of tiles. Places come from generators: a predicate that is moved below a projection repeats what it
+    computes, and methods of over 8000 bytes are not compiled."""
+    return tiles.withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+
+
+def _places(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """The places x of lines, from column first to column last, which may be empty."""
+    return rows.where(F.col(first) <= F.col(last)).withColumn("x", F.explode(F.sequence(first, last)))
+
+
 def _part(hit: Column, stroke: Column) -> Column:
     return F.when(stroke, "stroke").when(hit, "fill")
 
@@ -119,10 +130,18 @@ def _distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Colu
 
 def line(shapes: DataFrame, width: int = 1) -> DataFrame:
     """(shape, x, y, part) of the diagonals of boxes (shape, w, h), from the first pixel's centre to the last's."""
-    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    reach = max(width, 1) / 2.0
     w, h = (F.greatest(F.col(c).cast("double") - 0.5, lit(0.5)) for c in "wh")
-    near = _distance(x, y, lit(0.5), lit(0.5), w, h) <= (max(width, 1) / 2.0) ** 2
-    return _cells(shapes).where(near).select("shape", "x", "y", F.lit("stroke").alias("part"))
+    rows = _lines(_tiles(shapes.select("shape", w.alias("_bx"), h.alias("_by"), "w", "h"))).withColumn("_fy", F.col("y") + 0.5)
+    # where the segment is within reach of a row of pixels, and a little more; distances are taken of what is there only
+    bx, by, y = (F.col(c) for c in ("_bx", "_by", "_fy"))
+    along = lambda v: lit(0.5) + (bx - 0.5) * F.least(lit(1), F.greatest(lit(0), (v - 0.5) / (by - 0.5)))
+    slack = reach + 0.01
+    low, high = (F.when(by > 0.5, along(y + k * slack)).otherwise(end) + k * slack for k, end in ((-1, lit(0.5)), (1, bx)))
+    ends = {"_lo": F.greatest(F.col("_x0").cast("long"), F.ceil(low - 0.5)), "_hi": F.least(F.col("_x1").cast("long"), F.floor(high - 0.5))}
+    cell = _places(rows.withColumns({k: v.cast("int") for k, v in ends.items()}), "_lo", "_hi")
+    near = _distance(F.col("x") + 0.5, y, lit(0.5), lit(0.5), bx, by) <= reach**2
+    return cell.where(near).select("shape", "x", "y", F.lit("stroke").alias("part"))
 
 
 def _polygon_cells(stroke: int):

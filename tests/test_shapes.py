@@ -1,5 +1,7 @@
 """Pixels of shapes against plain loops, and how tables of shapes are dealt out."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,36 @@ def test_polygons(spark, stroke):
 def test_polygons_are_dealt(spark):
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     assert is_dealt(shapes.polygon(many(spark).withColumn("points", F.array(corner(0, 0), corner(9, 1), corner(3, 6))), 2))
+
+
+def method_sizes(df):
+    """Bytes of the largest methods that a plan's stages are compiled from; the JVM only interprets those over 8000."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        said = spark._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 10])
+def test_lines(spark, width):
+    rows = [(i, w, h) for i, (w, h) in enumerate([*SIZES, (3, 40), (40, 3), (12, 1), (1, 12), (9, 2)])]
+    want = set()
+    for i, w, h in rows:
+        w, h = max(w, 1), max(h, 1)
+        end = (w - 0.5, h - 0.5)
+        want |= {(i, x, y) for y in range(h) for x in range(w) if far(x + 0.5, y + 0.5, 0.5, 0.5, *end) <= (width / 2) ** 2}
+    got = parted(shapes.line(spark.createDataFrame(rows, BOXES), width))
+    assert set(got) == want and set(got.values()) == {"stroke"}
+
+
+def test_lines_are_dealt_and_compiled(spark):
+    df = shapes.line(many(spark), 3)
+    assert is_dealt(df)
+    assert max(method_sizes(df)) < 8000
+    # a box of more pixels than an int counts
+    long = shapes.line(spark.createDataFrame([(1, 50_000, 50_000)], BOXES), 1).agg(F.count("*"), F.sum((F.col("x") == F.col("y")).cast("int")), F.max("x")).first()
+    assert tuple(long) == (50_000, 50_000, 49_999)
