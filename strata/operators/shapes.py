@@ -63,20 +63,14 @@ def gradient_at(x: Column, y: Column, w: Column, h: Column, stops: list[tuple[fl
     return out
 
 
-def _cells(shapes: DataFrame) -> DataFrame:
-    at = shapes.withColumn("_p", F.explode(F.sequence(F.lit(0), F.greatest(F.col("w"), F.lit(1)) * F.greatest(F.col("h"), F.lit(1)) - 1)))
-    wide = F.greatest(F.col("w"), F.lit(1))
-    return at.withColumns({"x": (F.col("_p") % wide).cast("int"), "y": F.floor(F.col("_p") / wide).cast("int")}).drop("_p")
-
-
 def _tiles(shapes: DataFrame) -> DataFrame:
     """Shapes by tiles (_x0, _x1, _y0, _y1, ends included), dealt to all tasks: few rows, which become many pixels."""
     w, h = (F.greatest(F.col(c), F.lit(1)).cast("long") for c in "wh")
-    sized = shapes.withColumns({"_w": w, "_h": h, "_tw": F.least(w, F.lit(TILE))})
-    sized = sized.withColumn("_th", F.expr(f"{TILE} div _tw")).withColumn("_nx", F.expr("(_w + _tw - 1) div _tw"))
-    at = sized.withColumn("_t", F.explode(F.expr("sequence(0L, _nx * ((_h + _th - 1) div _th) - 1)")))
+    sized = shapes.withColumns({"_wide": w, "_high": h, "_tw": F.least(w, F.lit(TILE))})
+    sized = sized.withColumn("_th", F.expr(f"{TILE} div _tw")).withColumn("_nx", F.expr("(_wide + _tw - 1) div _tw"))
+    at = sized.withColumn("_t", F.explode(F.expr("sequence(0L, _nx * ((_high + _th - 1) div _th) - 1)")))
     at = at.withColumns({"_x0": F.expr("_t % _nx * _tw"), "_y0": F.expr("_t div _nx * _th")})
-    ends = {"_x0": "_x0", "_x1": "least(_x0 + _tw, _w) - 1", "_y0": "_y0", "_y1": "least(_y0 + _th, _h) - 1"}
+    ends = {"_x0": "_x0", "_x1": "least(_x0 + _tw, _wide) - 1", "_y0": "_y0", "_y1": "least(_y0 + _th, _high) - 1"}
     at = at.select(*shapes.columns, *[F.expr(f"cast({v} as int)").alias(k) for k, v in ends.items()])
     spark = shapes.sparkSession
     return at.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
@@ -93,10 +87,6 @@ def _places(rows: DataFrame, first: str, last: str) -> DataFrame:
     return rows.where(F.col(first) <= F.col(last)).withColumn("x", F.explode(F.sequence(first, last)))
 
 
-def _part(hit: Column, stroke: Column) -> Column:
-    return F.when(stroke, "stroke").when(hit, "fill")
-
-
 def _in_rounded(x: Column, y: Column, w: Column, h: Column, radius: Column) -> Column:
     """Corners are quarter discs; a radius of 0 or less is a plain rectangle, and a box without area holds nothing."""
     dx = x - F.least(F.greatest(x, radius), w - radius)
@@ -107,16 +97,18 @@ def _in_rounded(x: Column, y: Column, w: Column, h: Column, radius: Column) -> C
 
 def rectangle(shapes: DataFrame, stroke: int = 0, radius: int = 0) -> DataFrame:
     """(shape, x, y, part) of shapes (shape, w, h), with rounded corners; the stroke runs along the inside of the edge."""
-    x, y = F.col("x") + 0.5, F.col("y") + 0.5
-    w, h = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in "wh")
-    r = F.least(F.lit(radius), F.floor(F.col("w") / 2), F.floor(F.col("h") / 2)).cast("double")
+    sides = {f"_{c}": F.greatest(F.col(c), F.lit(1)).cast("double") for c in "wh"}
+    corner = F.least(F.lit(radius), F.floor(F.col("w") / 2), F.floor(F.col("h") / 2)).cast("double")
+    sized = shapes.select("shape", "w", "h", *[v.alias(k) for k, v in sides.items()], corner.alias("_r"))
+    cell = _places(_lines(_tiles(sized)), "_x0", "_x1")
+    x, y, w, h, r = F.col("x") + 0.5, F.col("y") + 0.5, *(F.col(c) for c in ("_w", "_h", "_r"))
     if radius:
         inner = _in_rounded(x - stroke, y - stroke, w - 2.0 * stroke, h - 2.0 * stroke, F.greatest(r - stroke, lit(0)))
         edge = ~inner
     else:
         edge = (x <= stroke) | (x >= w - stroke) | (y <= stroke) | (y >= h - stroke)
-    part = _part(_in_rounded(x, y, w, h, r), edge) if stroke else F.lit("fill")
-    return _cells(shapes).where(_in_rounded(x, y, w, h, r)).select("shape", "x", "y", part.alias("part"))
+    part = F.when(edge, "stroke").otherwise("fill") if stroke else F.lit("fill")
+    return cell.where(_in_rounded(x, y, w, h, r)).select("shape", "x", "y", part.alias("part"))
 
 
 def _distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

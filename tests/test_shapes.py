@@ -95,3 +95,34 @@ def test_lines_are_dealt_and_compiled(spark):
     # a box of more pixels than an int counts
     long = shapes.line(spark.createDataFrame([(1, 50_000, 50_000)], BOXES), 1).agg(F.count("*"), F.sum((F.col("x") == F.col("y")).cast("int")), F.max("x")).first()
     assert tuple(long) == (50_000, 50_000, 49_999)
+
+
+@pytest.mark.parametrize(("stroke", "radius"), [(0, 0), (2, 0), (0, 3), (2, 4)])
+def test_rectangles(spark, stroke, radius):
+    def rounded(x, y, w, h, r):
+        if w <= 0 or h <= 0:
+            return False
+        if r <= 0:
+            return 0 <= x <= w and 0 <= y <= h
+        return (x - min(max(x, r), w - r)) ** 2 + (y - min(max(y, r), h - r)) ** 2 <= r * r
+
+    rows, want, n = [(i, w, h) for i, (w, h) in enumerate(SIZES)], {}, stroke
+    for i, w, h in rows:
+        w, h, r = max(w, 1), max(h, 1), min(radius, w // 2, h // 2)
+        for fx, fy in ((x + 0.5, y + 0.5) for y in range(h) for x in range(w)):
+            if radius:
+                edge = not rounded(fx - n, fy - n, w - 2 * n, h - 2 * n, max(r - n, 0))
+            else:
+                edge = fx <= n or fx >= w - n or fy <= n or fy >= h - n
+            if rounded(fx, fy, w, h, r):
+                want[i, int(fx), int(fy)] = "stroke" if n and edge else "fill"
+    assert parted(shapes.rectangle(spark.createDataFrame(rows[1:], BOXES), stroke, radius)) == {k: v for k, v in want.items() if k[0]}
+    # a box without area counts as one pixel; its corners are cut by its own sizes
+    assert shapes.rectangle(spark.createDataFrame(rows[:1], BOXES), stroke).count() == 1
+
+
+def test_rectangles_are_dealt_and_compiled(spark):
+    for radius in (0, 4):
+        df = shapes.rectangle(many(spark), 2, radius)
+        assert is_dealt(df)
+        assert max(method_sizes(df)) < 8000
