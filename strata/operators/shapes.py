@@ -137,7 +137,7 @@ def line(shapes: DataFrame, width: int = 1) -> DataFrame:
 
 
 def _polygon_cells(stroke: int):
-    """Batches of tiles (shape, _x0, _x1, _y0, _y1, _xs, _ys) to pixels (shape, x, y, edge)."""
+    """Batches of tiles (shape, _x0, _x1, _y0, _y1, _xs, _ys) to their pixels (shape, at): x, y and edge in 31, 31 and 1 bits."""
 
     def cells(b: pa.RecordBatch) -> pa.RecordBatch:
         x0, x1, y0, y1 = (b.column(c).to_numpy() for c in ("_x0", "_x1", "_y0", "_y1"))
@@ -170,8 +170,10 @@ def _polygon_cells(stroke: int):
                 off = np.repeat(dy, size) - np.repeat(v, size) * share
                 edge[:cut] |= dx * dx + off * off <= (stroke / 2.0) ** 2
         kept = np.flatnonzero(inside | edge)
-        ids = b.column("shape").take(pa.array(np.repeat(tile, long)[kept]))
-        return pa.RecordBatch.from_arrays([ids, pa.array(x[kept].astype(np.int32)), pa.array(np.repeat(line, long)[kept].astype(np.int32)), pa.array(edge[kept])], ["shape", "x", "y", "edge"])
+        counts = np.bincount(np.repeat(tile, long)[kept], minlength=len(n))
+        at = x[kept] << 32 | np.repeat(line, long)[kept] << 1 | edge[kept]
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([b.column("shape"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], ["shape", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(all="ignore"):
@@ -193,6 +195,8 @@ def polygon(shapes: DataFrame, stroke: int = 0) -> DataFrame:
     ``points`` is an array of structs (x, y); fewer than three draw nothing, nor does an edge at a corner without numbers.
     """
     tiles = _tiles(shapes.where(F.size("points") >= 3).select("shape", "w", "h", *[F.col("points")[c].cast("array<double>").alias(f"_{c}s") for c in "xy"]))
-    schema = T.StructType([tiles.schema["shape"], *[T.StructField(c, T.IntegerType()) for c in "xy"], T.StructField("edge", T.BooleanType())])
-    part = F.when(F.col("edge"), "stroke").otherwise("fill")
-    return tiles.drop("w", "h").mapInArrow(_polygon_cells(stroke), schema).select("shape", "x", "y", part.alias("part"))
+    schema = T.StructType([tiles.schema["shape"], T.StructField("at", T.ArrayType(T.LongType()))])
+    at = tiles.drop("w", "h").mapInArrow(_polygon_cells(stroke), schema).select("shape", F.explode("at").alias("at"))
+    x, y = F.shiftright("at", 32).cast("int"), F.shiftright("at", 1).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    part = F.when(F.col("at").bitwiseAND(F.lit(1)) == 1, "stroke").otherwise("fill")
+    return at.select("shape", x.alias("x"), y.alias("y"), part.alias("part"))
